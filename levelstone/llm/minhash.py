@@ -243,3 +243,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     out = rows.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose document is kept: one of each near-duplicate group. Rows of one
+    doc_id stay or go together, equal ones of them once; rows with a null doc_id stay."""
+    kept = near_duplicates(docs, doc_id, text).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    stay = docs.join(kept, F.col(doc_id).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([doc_id, text])
+    return stay.unionByName(docs.where(F.col(doc_id).isNull()))
