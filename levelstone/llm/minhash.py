@@ -29,6 +29,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 #: Standard deviations of the estimate that a candidate may lie under the threshold.
 SLACK = 5.0
 BLOCK = 2048
+#: The same for full sets.
+TEXT_BLOCK = 512
 
 
 def _borrow_order() -> np.ndarray:
@@ -193,9 +195,9 @@ def _verified_forest(group: pa.Table) -> pa.Table:
     return _edges(_search(ids, near))
 
 
-def _cells(df: DataFrame, key: str, size: str) -> DataFrame:
+def _cells(df: DataFrame, key: str, size: str, block: int) -> DataFrame:
     """Deal each group's rows to blocks and to the cells of all pairs of blocks; a group of one block is one cell."""
-    n = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
+    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
     df = df.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(o, F.col("_b")).alias("i"), F.greatest(o, F.col("_b")).alias("j")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
@@ -222,14 +224,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bands = classes.select("node", F.explode("keys").alias("key"))
     shared = scratch.save(bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     members = scratch.save(bands.join(shared, "key"), "members")
-    cells = _cells(members.join(classes.select("node", "n_shingles", "sketch"), "node"), "key", "members")
+    cells = _cells(members.join(classes.select("node", "n_shingles", "sketch"), "node"), "key", "members", BLOCK)
     candidates = cells.select("cell", "node", "n_shingles", "sketch").groupBy("cell").applyInArrow(_bucket_forest, "a long, b long")
     clusters = components(candidates, scratch)
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
     who = clusters.join(sizes, "component").join(classes.select("node", "digest", F.col("least").alias("doc_id")), "node")
     who = scratch.save(who, "clusters")
-    cells = _cells(source.join(who, "doc_id"), "component", "members")
+    # the clusters grow with the data: texts and clusters meet by shuffles, whatever their size
+    cells = _cells(source.join(who.hint("merge"), "doc_id"), "component", "members", TEXT_BLOCK)
     links = cells.select("cell", "node", "digest", "text").groupBy("cell").applyInArrow(_verified_forest, "a long, b long")
     linked = components(links, scratch)
 
