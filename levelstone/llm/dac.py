@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_file
-from .common import Scratch, partitions, text_of
+from .common import Scratch, blocks, partitions, text_of, utf8_parts
+from .runs import RunTable
 
 BITS, BLOCK_BITS = 8, 512
 END_ID = 2
 SEGMENT_IDS = 1 << 18
-#: Chunks of text whose ids a worker remembers (in two generations); it changes speed, never results.
-CACHE_CHUNKS = 250_000
+#: Different runs of text whose ids a worker remembers; it changes speed, never results.
+CACHE_RUNS = 2_000_000
 
 
 def _pad(b: bytes) -> bytes:
@@ -111,7 +112,7 @@ class Dac:
 
 
 class _Encoder:
-    """The tokenizers library behind a cache of chunks between white space, which words of this vocabulary never cross."""
+    """The tokenizers library, called once for each different run of a text (see ``runs``) and for whole odd texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -119,35 +120,70 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")]  # split() would part more than the vocabulary does
-        cut = [t.split() for t in texts]
-        for i in odd:
-            cut[i] = []
-        miss = {}
-        for chunks in cut:
-            for c in chunks:
-                if c not in young:
-                    if (got := old.get(c)) is not None:
-                        young[c] = got
-                    else:
-                        miss[c] = None
-        if miss:
-            young.update(zip(miss, self._ids(list(miss))))
-        out = [b"".join([young[c] for c in chunks]) for chunks in cut]
-        if odd:
-            for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
-                out[i] = ids
-        if len(young) > CACHE_CHUNKS:
-            self.old, self.young = young, {}
-        return out
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.table = RunTable(self._add, self._clear, CACHE_RUNS)
+
+    def _clear(self) -> None:
+        self.pool, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, runs: list[bytes]) -> None:
+        count = np.zeros(len(runs), np.int64)
+        letters = [i for i, r in enumerate(runs) if r and (r[0] >= 128 or r[:1].isalpha())]
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # run numbers in order, their ids one after another
+        single = [i for i, r in enumerate(runs) if r and not (r[0] >= 128 or r[:1].isalpha())]
+        # a run of letters is one word, and a word's last token says so: many go through the library as one text
+        groups = [letters[k : k + 1000] for k in range(0, len(letters), 1000)]
+        for group, ids in zip(groups, self._ids([b" ".join([runs[i] for i in g]).decode() for g in groups])):
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(group) and stop[-1] == len(ids):
+                count[group] = np.diff(stop, prepend=0)
+                parts.append((np.array(group), ids))
+            else:
+                single += group
+        for i, ids in zip(single, self._ids([runs[i].decode() for i in single])):
+            count[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        first = np.zeros(len(runs), np.int64)
+        at = len(self.pool)
+        for group, ids in parts:
+            n = count[group]
+            first[group] = at + np.cumsum(n) - n
+            at += len(ids)
+        self.pool = np.concatenate([self.pool, *(ids for _, ids in parts)])
+        self.first, self.count = np.concatenate((self.first, first)), np.concatenate((self.count, count))
+
+    def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end_id`` behind it, one after another; number of ids of each text)."""
+        n = len(off) - 1
+        places, doc, odd = self.table.find(raw, off)
+        keep = ~odd[doc]
+        places, doc = places[keep], doc[keep]
+        length = self.count[places]
+        lengths = np.bincount(doc, length, minlength=n).astype(np.int64)
+        data = raw.tobytes()
+        whole = np.flatnonzero(odd)
+        texts = self._ids([data[off[i] : off[i + 1]].decode() for i in whole])
+        for i, ids in zip(whole, texts):
+            lengths[i] = len(ids)
+        lengths += 1
+        stop = np.cumsum(lengths)
+        out = np.full(int(stop[-1]) if n else 0, end_id, np.uint32)
+        # where each run's ids go: its text's beginning and what its text has before it
+        before = np.cumsum(length) - length
+        own = np.concatenate(([0], np.cumsum(np.bincount(doc, length, minlength=n).astype(np.int64))))
+        to = stop[doc] - lengths[doc] + before - own[doc]
+        step = np.arange(int(length.sum())) - np.repeat(before, length)
+        out[np.repeat(to, length) + step] = self.pool[np.repeat(self.first[places], length) + step]
+        for i, ids in zip(whole, texts):
+            out[stop[i] - lengths[i] : stop[i] - 1] = ids
+        return out, lengths
 
 
 @lru_cache(maxsize=2)
@@ -169,27 +205,27 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id
     def run(batches):
         part, seq, base = TaskContext.get().partitionId(), 0, 0
         encoder = _encoder(name)
-        end = np.array([end_id], "<u4").tobytes()
         held_ids, held, size = [], [], 0
 
         def segment():
             nonlocal seq, base, held_ids, held, size
-            ids = np.frombuffer(b"".join(held), "<u4")
-            row = [part, seq, base, len(ids), held_ids, [len(x) // 4 for x in held], pack(ids)]
+            ids = np.concatenate([x[0] for x in held])
+            lengths = np.concatenate([x[1] for x in held]).tolist()
+            row = [part, seq, base, len(ids), held_ids, lengths, pack(ids)]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             seq, base, held_ids, held, size = seq + 1, base + len(ids), [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["part", "seq", "base", "n_ids", "doc_ids", "lengths", "segment"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                some = batch.slice(i, 100)
-                for d, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
-                    held_ids.append(d)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= SEGMENT_IDS:
-                        yield segment()
-        if held:
+            ids = batch.column(0).to_pylist()
+            raw, off = utf8_parts(batch.column(1))
+            for i, j in blocks(off, 1 << 21):
+                held.append(encoder.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i], end_id))
+                held_ids += ids[i:j]
+                size += len(held[-1][0])
+                if size >= SEGMENT_IDS:
+                    yield segment()
+        if held_ids:
             yield segment()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
