@@ -15,19 +15,21 @@ import unicodedata
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import blocks, ship, text_of, utf8_parts
+from .runs import RunTable
 
 #: White space as the normaliser's pattern has it; Python's own split() takes four control characters more.
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Words kept in each of the two generations of a worker's cache; it changes speed, never results.
-CACHE_WORDS = 300_000
+#: Different runs and words that a worker remembers; it changes speed, never results.
+CACHE_RUNS, CACHE_WORDS = 400_000, 100_000
 _FOREVER = 1 << 60
 
 
@@ -72,8 +74,6 @@ class PrefixBPE:
         self.automaton.make_automaton()
         self._to_symbol = dict(enumerate(self.symbols))
         self._known: dict[str, list[int]] = {}
-        self._young: dict = {}
-        self._old: dict = {}
 
     def _key(self, token: str) -> str:
         """A token over the alphabet of symbols, in which a word's last symbol is a letter of its own."""
@@ -132,7 +132,7 @@ class PrefixBPE:
 
     def _piece(self, piece: str) -> list[int]:
         ids = self._known.get(piece)
-        if ids is None:
+        if ids is None:  # odd texts and marks come here again and again, runs of letters once
             symbols = piece.encode().decode("latin-1").translate(self._to_symbol)
             if self.suffix:
                 symbols = symbols[:-1] + chr(0x4000 + ord(symbols[-1]))
@@ -168,41 +168,54 @@ class PrefixBPE:
             return [x for x in _SPACE.split(text) if x]
         return text.split()
 
-    def cached(self, chunk: str) -> tuple[int, str, str]:
-        """(number of ids, ids as text, tokens as text) of a chunk without white space."""
-        got = self._old.get(chunk)
-        if got is None:
-            ids = self.chunk(chunk)
-            got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(chunk) <= 64:
-            if len(self._young) >= CACHE_WORDS:
-                self._old, self._young = self._young, {}
-            self._young[chunk] = got
-        return got
-
-    def lookup(self, text: str) -> list[tuple[int, str, str]]:
-        young, out = self._young, []
-        for c in self.chunks(text):
-            got = young.get(c)
-            if got is None:
-                got = self.cached(c)
-                young = self._young
-            if got[0]:
-                out.append(got)
-        return out
-
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.lookup(text) for i in ids.split()]
+        """Ids of a whole text."""
+        out = []
+        for chunk in self.chunks(text):
+            out += self.chunk(chunk)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: the vocabulary file names no decoder."""
         return " ".join(self.text[i] for i in ids if i in self.text)
 
 
+class RunEncoder:
+    """Encodes many texts at once: each different run of letters or marks goes through the dynamic program once."""
+
+    def __init__(self, bpe: PrefixBPE):
+        self.bpe = bpe
+        self.table = RunTable(self._add, self._clear, CACHE_RUNS)
+
+    def _clear(self) -> None:
+        self.count, self.ids, self.tokens = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, object)
+
+    def _add(self, runs: list[bytes]) -> None:
+        got = [self.bpe._segment(r.decode()) if r else [] for r in runs]
+        n, ids, tokens = np.array([len(x) for x in got], np.int64), np.empty(len(got), object), np.empty(len(got), object)
+        ids[:] = [" ".join(map(str, x)) for x in got]
+        tokens[:] = [self.bpe.decode(x) for x in got]
+        self.count, self.ids, self.tokens = (np.concatenate(x) for x in ((self.count, n), (self.ids, ids), (self.tokens, tokens)))
+
+    def encode(self, raw: np.ndarray, off: np.ndarray):
+        """(number of ids, ids as text, decoded text) of each text ``raw[off[i]:off[i+1]]``."""
+        places, doc, odd = self.table.find(raw, off)
+        cut = np.searchsorted(doc, np.arange(len(off)))
+        n = np.concatenate(([0], np.cumsum(self.count[places])))
+        ids, tokens = self.ids[places], self.tokens[places]
+        for i in range(len(off) - 1):
+            if odd[i]:
+                got = self.bpe.encode(raw[off[i] : off[i + 1]].tobytes().decode())
+                yield len(got), " ".join(map(str, got)), self.bpe.decode(got)
+            else:
+                a, b = cut[i], cut[i + 1]
+                yield int(n[b] - n[a]), " ".join(ids[a:b].tolist()), " ".join(tokens[a:b].tolist())
+
+
 @lru_cache(maxsize=2)
-def _load(name: str) -> PrefixBPE:
+def _load(name: str) -> RunEncoder:
     with open(SparkFiles.get(name), encoding="utf-8") as f:
-        return PrefixBPE(f.read())
+        return RunEncoder(PrefixBPE(f.read()))
 
 
 def vocabulary_file(spark, path: str) -> str:
@@ -224,14 +237,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
     name = vocabulary_file(docs.sparkSession, vocabulary)
 
     def run(batches):
-        bpe = _load(name)
+        encoder = _load(name)
         for batch in batches:
+            raw, off = utf8_parts(batch.column(1))
             rows = []
-            for text in batch.column(1).to_pylist():
-                got = bpe.lookup(text)
-                ids, decoded = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
-                digests = [hashlib.sha256(x.encode()).hexdigest() for x in (ids, decoded)]
-                rows.append((sum([x[0] for x in got]), *digests, *(([int(i) for i in ids.split()], decoded) if keep_ids else ())))
+            for i, j in blocks(off):
+                for n, ids, decoded in encoder.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i]):
+                    digests = [hashlib.sha256(x.encode()).hexdigest() for x in (ids, decoded)]
+                    rows.append((n, *digests, *(([int(x) for x in ids.split()], decoded) if keep_ids else ())))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())
             columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(5 if keep_ids else 3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
