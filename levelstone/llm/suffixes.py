@@ -57,8 +57,9 @@ def _suffixes(min_words: int, prefix: int):
 def _neighbours(batches):
     """Compare neighbours in one sorted part: rows of keys that two documents or more hold.
 
-    A part's first and last key may go on in another part. Their rows are marked (edge), and each of the two runs
-    brings two lines more (pos -1) with its least and its greatest document, by which the ends of parts are settled.
+    A part's first and last key may go on in another part. Each of these two runs brings two lines more (pos -1) with
+    its least and its greatest document; its rows, if they are all of one document here, wait (edge) until those lines
+    of all parts are together.
     """
 
     def rows(key, doc, pos, edge):
@@ -70,11 +71,9 @@ def _neighbours(batches):
         """What is left to say of the open run."""
         key, lo, hi, doc, pos = run
         if first or last:
-            marks = np.array([lo, hi], np.int64)
-            yield rows(np.full(2, key), marks, np.full(2, -1), True)
-            yield rows(np.full(len(doc), key), doc, pos, True)
-        elif lo != hi:
-            yield rows(np.full(len(doc), key), doc, pos, False)
+            yield rows(np.full(2, key), np.array([lo, hi], np.int64), np.full(2, -1), True)
+        if lo != hi or first or last:
+            yield rows(np.full(len(doc), key), doc, pos, lo == hi)
 
     for batch in batches:
         if not batch.num_rows:
@@ -85,11 +84,11 @@ def _neighbours(batches):
         if run and run[0] == key[0]:
             d, p = np.concatenate((run[3], doc[: end[0]])), np.concatenate((run[4], pos[: end[0]]))
             run = (run[0], run[1], doc[end[0] - 1], d, p)
-            if len(d) > 200_000:  # a very long run leaves in pieces, as rows that wait for the ends to be settled
+            if len(d) > 200_000:  # a very long run leaves in pieces
                 yield rows(np.full(2, run[0]), np.array([run[1], run[2]], np.int64), np.full(2, -1), True)
-                yield rows(np.full(len(d), run[0]), d, p, True)
+                yield rows(np.full(len(d), run[0]), d, p, run[1] == run[2])
                 run = (*run[:3], d[:0], p[:0])
-                first = True  # so its last rows wait as well
+                first = True  # so its last rows bring their lines as well
             start, end = start[1:], end[1:]
             if not len(start):
                 continue
