@@ -62,7 +62,7 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType | str) -
 
 def read_json(spark: SparkSession, path: str) -> dict:
     """One JSON object, such as a manifest."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def point_lookup(df: DataFrame, key: str, value) -> dict | None:
