@@ -1,0 +1,359 @@
+"""Corpus operators against brute force, exact round trips and the tokenizers library."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from levelstone.llm import bpe, dac, licenses, matroska, minhash, mixing, mtree, quality, secrets, suffixes
+from levelstone.llm.common import utf8_parts
+from levelstone.llm.queries import vocabulary_path
+from levelstone.llm.wordhash import shingles
+
+from .cases import SCHEMA, documents, frame, lower, split
+
+
+def shingle_set(text, k=5):
+    w = split(lower(text))
+    if len(w) < k:
+        return frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+
+def components(sets):
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= 75 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_shingles_match_sets():
+    texts = [t or "" for _, t, _, _ in documents()]
+    raw, off = utf8_parts(pa.array(texts))
+    _, at = shingles(raw, off)
+    assert np.diff(at).tolist() == [len(shingle_set(t)) for t in texts]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rows = documents()
+    got = minhash.near_duplicates(frame(spark)).collect()
+    assert len(got) == len(rows)
+    want = components({i: shingle_set(t) for i, t, _, _ in rows if i is not None})
+    sizes = {i: len(shingle_set(t)) for i, t, _, _ in rows if i is not None}
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id, r.kept) == (sizes[r.doc_id], want[r.doc_id], want[r.doc_id] == r.doc_id)
+        else:
+            assert r.component_id is None and r.kept
+    kept = minhash.deduplicated(frame(spark))
+    assert kept.columns == frame(spark).columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(13) == 1 and 2 not in ids and 3 not in ids and ids.count(None) == 2
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """More members than a block, with links at, above and below the threshold."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "TEXT_BLOCK", 8)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(80)] = f"x{rng.random()}"
+        rows.append((i, " ".join(w), "en", "s"))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == components({i: shingle_set(t) for i, t, _, _ in rows})
+
+
+def test_estimate_is_corrected_and_close():
+    rng = np.random.default_rng(0)
+    for share in (0.3, 0.75, 0.9):
+        errors = []
+        for _ in range(30):
+            both = rng.integers(0, 1 << 63, int(2000 * share)).astype(np.uint64)
+            own = [rng.integers(0, 1 << 63, int(1000 * (1 - share))).astype(np.uint64) for _ in range(2)]
+            sets = [np.unique(np.concatenate((both, x))) for x in own]
+            registers = minhash.sketch(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
+            j = len(both) / (len(sets[0]) + len(sets[1]) - len(both))
+            errors.append(minhash.estimate(np.array([(registers[0] == registers[1]).sum()]))[0] - j)
+        assert abs(np.mean(errors)) < 0.03
+
+
+def repeated(rows, n=50):
+    own, many = {}, set()
+    texts = [(i, split(lower(t))) for i, t, _, _ in rows if i is not None]
+    for i, w in texts:
+        for k in range(len(w) - n + 1):
+            if own.setdefault(tuple(w[k : k + n]), i) != i:
+                many.add(tuple(w[k : k + n]))
+    out = set()
+    for i, w in texts:
+        spans = []
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in many:
+                if spans and k <= spans[-1][1]:
+                    spans[-1][1] = k + n
+                else:
+                    spans.append([k, k + n])
+        out |= {(i, a, b, b - a) for a, b in spans}
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_passages_match_brute_force(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {tuple(r) for r in suffixes.repeated_passages(frame(spark)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == repeated(documents())
+    assert {9, 10} <= {r[0] for r in got}
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+ODD = ["<|endoftext|>", "a<|startoftext|>b", "it's", "ΑΣ", "İx", "é", "x\x1cy", "½", "  ", "😀", "<|end", "'LL", "12,3", "ſ", "aaaa", "!!", "\x85"]
+
+
+def test_bpe_matches_the_library(spark):
+    t = library()
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice([*ODD, " ", "th", "e", "Ing", "straße"]) for _ in range(rng.randint(0, 12))), "en", "s") for i in range(400)] + [(None, None, None, None), (999, documents()[10][1], "en", "s")]
+    got = bpe.encode_documents(frame(spark, rows), vocabulary_path(), keep_ids=True).collect()
+    texts = {i: x or "" for i, x, _, _ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids)
+        assert r.decoded == t.decode(ids, skip_special_tokens=False)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+
+
+def test_every_prefix_token_is_the_library_s():
+    t, own = library(), bpe.PrefixBPE(open(vocabulary_path()).read())
+    rng = random.Random(1)
+    for _ in range(1500):
+        w = "".join(rng.choice("aeinorstlhdc") for _ in range(rng.randint(1, 24)))
+        assert own.encode(w) == t.encode(w, add_special_tokens=False).ids
+
+
+def test_merges_come_in_order_of_rank():
+    """What the compatibility test rests on: a token's parts are made before it."""
+    own = bpe.PrefixBPE(open(vocabulary_path()).read())
+    assert all(a[1] > b[1] for border in own._right.values() for a, b in zip(border, border[1:]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
+def test_codes_are_directly_addressable(n):
+    rng = np.random.default_rng(n)
+    ids = rng.choice([0, 1, 255, 256, 49407, 70_000, 2**31, 2**40], n).astype(np.uint64)
+    d = dac.Dac(dac.pack(ids))
+    assert len(d) == n and [d.get(i) for i in range(n)] == ids.tolist()
+    for _ in range(20):
+        a, b = sorted(rng.integers(0, n + 1, 2))
+        assert (d.slice(a, b) == ids[a:b]).all()
+    with pytest.raises(IndexError):
+        d.get(n)
+
+
+def test_token_files_round_trip(spark):
+    t = library()
+    rows = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    got = sorted(dac.token_index(frame(spark), vocabulary_path()).collect(), key=lambda r: r.start)
+    start = 0
+    for (i, text, _, _), r in zip(rows, got, strict=True):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [dac.END_ID], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def water(sizes, weights):
+    total, target, capped = sum(sizes), [0.0] * len(sizes), [False] * len(sizes)
+    while True:
+        rest = total - sum(3 * s for s, c in zip(sizes, capped) if c)
+        share = sum(w for w, c in zip(weights, capped) if not c)
+        target = [3.0 * s if c else rest * w / share for s, w, c in zip(sizes, weights, capped)]
+        over = [not c and t > 3 * s for t, s, c in zip(target, sizes, capped)]
+        if not any(over):
+            return target
+        capped = [c or o for c, o in zip(capped, over)]
+
+
+def test_mix_meets_its_targets(spark):
+    rows = documents() + [(500, "tiny source", "en", "zz")]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    names = sorted({r[3] for r in rows if r[3]}) + [None]
+    sizes = [sum(len(split(t)) for _, t, _, s in rows if s == n) for n in names]
+    target = dict(zip(names, water(sizes, [1 + i % 3 for i in range(len(names))])))
+    for n in names:
+        own = [r for r in got if r.source == n]
+        assert all(r.source_size == sizes[names.index(n)] and abs(r.target - target[n]) < 1e-6 for r in own)
+        assert abs(sum(r.taken for r in own) - target[n]) < 1
+        assert all(0 <= r.taken <= 3 * r.size for r in own)
+    again = mixing.mix(frame(spark, rows).repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    mixed = mixing.mixed_documents(frame(spark, rows))
+    assert mixed.columns == frame(spark, rows).columns
+    assert mixed.count() == sum(-(-r.taken // r["size"]) for r in got if r["size"])
+
+
+def test_curriculum_moves_positions(spark):
+    rows = [(i, "a b c d", "en", "s") for i in range(200)]
+    early = mixing.mix(frame(spark, rows), schedule=((0.0, 3.0), (0.5, 1.0), (1.0, 0.0))).collect()
+    even = mixing.mix(frame(spark, rows)).collect()
+    assert np.mean([r.position for r in early]) < 0.36 < np.mean([r.position for r in even])
+    assert all(0 <= r.position <= 1 for r in early)
+    assert sum(r.position <= 0.5 for r in early) == pytest.approx(160, abs=2)  # 1.0 of 1.25
+
+
+def test_quality_is_learned_and_held_out(spark):
+    rng = random.Random(0)
+    good = [(i, " ".join(rng.choice(["the", "sea", "was", "calm", "and", "blue."]) for _ in range(30)), "en", "s") for i in range(300)]
+    bad = [(i, " ".join(rng.choice(["BUY!!", "now***", "cheap", "|"]) for _ in range(30)), "en", "s") for i in range(300, 600)]
+    docs = frame(spark, [*good, *bad, (None, None, None, None), (700, "", "en", "s")])
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(600)] + [(None, 1), (5000, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert len(got) == 602
+    out = [r for r in got.values() if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items() if i is not None)
+    assert all(r.predicted == int(r.doc_id < 300) for r in out if r.doc_id < 600)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    flipped = labels.withColumn("quality", quality.F.when(quality.held_out(quality.F.col("doc_id")), 1 - quality.F.col("quality")).otherwise(quality.F.col("quality")))
+    assert (quality.train(docs, flipped).weights == model.weights).all()
+    assert quality.accepted(docs, model).columns == docs.columns
+
+
+def test_secrets_are_found_and_redacted(spark):
+    held = secrets.labelled_findings(600, seed=77)
+    scores = secrets.default_forest().score(np.array([secrets.describe(*f[:5]) for f in held]))
+    assert np.mean((scores >= 0.5) == [f[5] for f in held]) > 0.97
+    got = secrets.find_secrets(frame(spark)).collect()
+    real = [r for r in got if r.is_secret]
+    assert [r.doc_id for r in real] == [12] and real[0].value_sha256 == hashlib.sha256(b"24be64439e3e49cf46b2d7c90f3602a3d0b907ff").hexdigest()
+    after = secrets.redacted(frame(spark))
+    texts = {r.doc_id: r.text for r in after.collect()}
+    assert 'token = "<SECRET>" end' in texts[12] and texts[1] == documents()[0][1] and texts[4] is None
+    assert after.schema == frame(spark).schema and after.count() == len(documents())
+
+
+def test_media_round_trip(spark):
+    got = matroska.read_back(matroska.store(frame(spark))).collect()
+    texts = {i: t for i, t, _, _ in documents() if i is not None}
+    assert len(got) == len(documents())
+    for r in got:
+        if r.doc_id is not None:
+            p = matroska.payload_of(texts[r.doc_id] or "")
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((texts[r.doc_id] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+            assert r.payload_bytes % 64 == 0 and r.payload_bytes > 0
+    assert len({(r.media_sha256, r.feature) for r in got if r.doc_id in (1, 2)}) == 1
+    table = matroska.packets(matroska.store(frame(spark))).where("doc_id = 11").orderBy("start").collect()
+    assert all(a.end <= b.start and a.timestamp_ns <= b.timestamp_ns for a, b in zip(table, table[1:]))
+    broken = spark.createDataFrame([(1, bytearray(b"nothing")), (2, None)], "doc_id long, media binary")
+    assert [(r.doc_id, r.track, bool(r.error)) for r in matroska.packets(broken).collect()] == [(1, None, True)]
+
+
+@pytest.mark.parametrize("kind", [1, 2, 3])
+def test_lacing(kind):
+    rng = random.Random(kind)
+    for _ in range(100):
+        sizes = [rng.randint(0, 900) for _ in range(rng.randint(2, 9))]
+        sizes = [sizes[0]] * len(sizes) if kind == 2 else sizes
+        data = matroska.laced([bytes(n) for n in sizes], kind)
+        assert matroska.lace_sizes(data, 0, len(data), kind)[0] == sizes
+
+
+def test_unknown_sizes_are_read():
+    data = matroska.mux(b"\x01" * 200_000)
+    at = data.index(matroska.SEGMENT.to_bytes(4, "big")) + 4
+    _, after = matroska.read_vint(data, at)
+    live = data[:at] + b"\xff" * 1 + data[after:]
+    m = matroska.demux(live)
+    assert b"".join(live[a:b] for _, _, _, _, a, b, _ in m.packets) == b"\x01" * 200_000
+    with pytest.raises(ValueError):
+        matroska.demux(data[: len(data) // 2])
+
+
+def brute_top(rows, k=10):
+    ok = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    width = max(len(v) for _, v in ok)
+    ok = [(i, np.pad(v, (0, width - len(v)))) for i, v in ok]
+    out = []
+    for i, v in ok:
+        if i % 100 == 0:
+            best = sorted(((-int(v @ w), j) for j, w in ok if j != i))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "CELL", 64)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(3)
+    same = rng.normal(size=8).tolist()
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(500)] + [(i, same) for i in range(500, 900)]
+    rows += [(1000, None), (1100, [1.0, None]), (1200, [float("nan")] * 8), (1300, [float("inf")] * 8), (None, same), (1400, [1.0, 2.0]), (1500, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", mtree.F.lit("clash"))
+    rows = [(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v]) for i, v in rows]
+    assert sorted(tuple(r) for r in mtree.top_k(df).collect()) == brute_top(rows)
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in mtree.top_k(few).collect()] == [(0, 1, 1, 1024 * 2048)]
+
+
+def test_cells_avoid_products():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 8)) * 2000
+    x = np.floor(centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 8)) * 30)
+    cell = mtree.Cell(np.arange(2000), x, float((x * x).sum(axis=1).max()))
+    list(cell.search(x[:1], np.array([0]), np.array([-np.inf]), 10))
+    assert cell.products < 1000
+
+
+def test_licenses(spark):
+    got = {r.doc_id: r for r in licenses.license_scan(frame(spark)).collect()}
+    assert got[12].line_licenses == "MIT" and got[12].n_license_lines == 1 and got[12].license_id is None
+    assert got[13].license_id == "MIT" and got[13].n_license_lines == 2
+    assert got[4].license_id is None and got[4].digest == hashlib.md5(b"").hexdigest()
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + licenses.TEXTS["MIT"].replace(" ", "  ").upper()
+    one = licenses.license_scan(frame(spark, [(1, mit, "en", "s")])).collect()[0]
+    assert one.license_id == "MIT"
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.train(none, labels)
+    results = [
+        minhash.near_duplicates(none), minhash.deduplicated(none), suffixes.repeated_passages(none), bpe.encode_documents(none, vocabulary_path()), dac.token_index(none, vocabulary_path()),
+        mixing.mix(none), mixing.mixed_documents(none), quality.score(none, model), quality.accepted(none, model), secrets.find_secrets(none), secrets.redacted(none),
+        matroska.read_back(matroska.store(none)), licenses.license_scan(none), mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")),
+    ]
+    assert [r.count() for r in results] == [0] * len(results)
+
+
+def test_schema_is_documents():
+    assert SCHEMA.startswith("doc_id long, text string")
