@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, ship, text_of, utf8_parts
@@ -29,8 +29,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 #: Standard deviations of the estimate that a candidate may lie under the threshold.
 SLACK = 5.0
 BLOCK = 2048
-#: The same for full sets.
-TEXT_BLOCK = 512
+#: The same for full sets, whose size counts as well.
+TEXT_BLOCK, SHINGLE_BLOCK = 512, 1_000_000
 
 
 def _borrow_order() -> np.ndarray:
@@ -167,7 +167,8 @@ def _verified_forest(group: pa.Table) -> pa.Table:
         return _edges([])
     group = group.sort_by("node")
     raw, off = utf8_parts(group["text"])
-    h, at = shingles(raw, off, WORDS)
+    parts = [shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], WORDS) for i, j in blocks(off)]
+    h, at = np.concatenate([x for x, _ in parts]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts]))))
     # a doc_id on rows with several texts brings them all; only the row with the node's own set counts, once
     own = [digest_of(h[a:b]) == d for a, b, d in zip(at[:-1], at[1:], group["digest"].to_pylist())]
     ids = group["node"].to_numpy()
@@ -195,10 +196,9 @@ def _verified_forest(group: pa.Table) -> pa.Table:
     return _edges(_search(ids, near))
 
 
-def _cells(df: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Deal each group's rows to blocks and to the cells of all pairs of blocks; a group of one block is one cell."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    df = df.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+def _cells(df: DataFrame, key: str, n: Column) -> DataFrame:
+    """Deal each group's rows to ``n`` blocks and to the cells of all pairs of blocks; a group of one block is one cell."""
+    df = df.withColumn("_n", n.cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(o, F.col("_b")).alias("i"), F.greatest(o, F.col("_b")).alias("j")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     df = df.withColumn("_cell", F.explode(F.when(F.col("_n") > 1, pair).otherwise(one)))
@@ -224,15 +224,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bands = classes.select("node", F.explode("keys").alias("key"))
     shared = scratch.save(bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     members = scratch.save(bands.join(shared, "key"), "members")
-    cells = _cells(members.join(classes.select("node", "n_shingles", "sketch"), "node"), "key", "members", BLOCK)
+    cells = _cells(members.join(classes.select("node", "n_shingles", "sketch"), "node"), "key", F.ceil(F.col("members") / BLOCK))
     candidates = cells.select("cell", "node", "n_shingles", "sketch").groupBy("cell").applyInArrow(_bucket_forest, "a long, b long")
     clusters = components(candidates, scratch)
 
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    who = clusters.join(sizes, "component").join(classes.select("node", "digest", F.col("least").alias("doc_id")), "node")
-    who = scratch.save(who, "clusters")
+    who = clusters.join(classes.select("node", "digest", F.col("least").alias("doc_id"), "n_shingles"), "node")
+    sizes = who.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TEXT_BLOCK, F.sum("n_shingles") / SHINGLE_BLOCK)).alias("parts"))
+    who = scratch.save(who.drop("n_shingles").join(sizes, "component"), "clusters")
     # the clusters grow with the data: texts and clusters meet by shuffles, whatever their size
-    cells = _cells(source.join(who.hint("merge"), "doc_id"), "component", "members", TEXT_BLOCK)
+    cells = _cells(source.join(who.hint("merge"), "doc_id"), "component", F.col("parts"))
     links = cells.select("cell", "node", "digest", "text").groupBy("cell").applyInArrow(_verified_forest, "a long, b long")
     linked = components(links, scratch)
 
