@@ -29,7 +29,7 @@ from .runs import RunTable
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Different runs and words that a worker remembers; it changes speed, never results.
-CACHE_RUNS, CACHE_WORDS = 400_000, 100_000
+CACHE_RUNS, CACHE_WORDS = 300_000, 50_000
 _FOREVER = 1 << 60
 
 
