@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ship, text_of, utf8_parts
+from .common import blocks, released, ship, text_of, utf8_parts
 from .runs import RunTable
 
 #: White space as the normaliser's pattern has it; Python's own split() takes four control characters more.
@@ -55,15 +55,12 @@ class PrefixBPE:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.symbols = _byte_symbols()
         self.rank: dict[tuple[int, int], int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
+        self.made = made = {}  # token: left part, right part, rank
         for r, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             t = vocab[a + b]
             self.rank.setdefault((vocab[a], vocab[b]), r)
             made.setdefault(t, (vocab[a], vocab[b], r))
-        self._right, self._left = {}, {}
-        for t in vocab.values():
-            self._right[t], self._left[t] = self._border(t, made, 1), self._border(t, made, 0)
         self._pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         atoms = {*self.symbols, *(s + self.suffix for s in self.symbols)}
@@ -82,21 +79,21 @@ class PrefixBPE:
             return body[:-1] + chr(0x4000 + ord(body[-1])) if body else token
         return token
 
-    @staticmethod
-    def _border(t: int, made: dict, side: int) -> list[tuple[int, int]]:
+    def _border(self, t: int, side: int) -> list[tuple[int, int]]:
         """The parts of a token along one of its borders, each with the rank of the merge that swallows it."""
         out, end = [], _FOREVER
         while True:
             out.append((t, end))
-            if t not in made:
+            if t not in self.made:
                 return out
-            end = made[t][2]
-            t = made[t][side]
+            end = self.made[t][2]
+            t = self.made[t][side]
 
     def _meets(self, a: int, b: int, before: int = _FOREVER) -> bool:
         """No merge across the border of a and b comes first (of rank under ``before``)."""
-        for x, x_end in self._right[a]:
-            for y, y_end in self._left[b]:
+        left_of_b = self._border(b, 0)
+        for x, x_end in self._border(a, 1):
+            for y, y_end in left_of_b:
                 r = self.rank.get((x, y))
                 if r is not None and r < before and r < x_end and r <= y_end:
                     return False
@@ -118,7 +115,7 @@ class PrefixBPE:
                     k = before[0] << 20 | token
                     ok = pairs.get(k)
                     if ok is None:
-                        if len(pairs) > 1_000_000:
+                        if len(pairs) > 200_000:
                             pairs.clear()
                         ok = pairs[k] = self._meets(before[0], token)
                     if not ok:
@@ -251,4 +248,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(released(run), schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -34,6 +36,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def released(run):
+    """``run`` for mapInArrow, after which a worker that stays for later tasks gives its free memory back."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a local one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -96,7 +112,7 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[lo:hi], off - lo
 
 
-def blocks(off: np.ndarray, limit: int = 1 << 20):
+def blocks(off: np.ndarray, limit: int = 1 << 19):
     """Ranges (i, j) of documents whose texts together take about ``limit`` bytes; a longer text stands alone."""
     i, n = 0, len(off) - 1
     while i < n:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, released
 
 _EDGE = "a long, b long"
 
@@ -50,12 +50,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     the edges form stars. Every step's table is written to the shared folder. No edges: an empty result.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and a < b")
-    now = scratch.save(edges.mapInArrow(_forest, _EDGE).distinct(), "forest")
+    now = scratch.save(edges.mapInArrow(released(_forest), _EDGE).distinct(), "forest")
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        large = scratch.save(large.where("a < b").distinct().mapInArrow(_forest, _EDGE).distinct(), "large")
+        large = scratch.save(large.where("a < b").distinct().mapInArrow(released(_forest), _EDGE).distinct(), "large")
         least2 = scratch.save(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")), "parents")
         odd = least2.where("n > 1").limit(1).count()
         up = large.select(F.col("a").alias("x")).join(large.select(F.col("b").alias("x")).distinct(), "x", "left_semi").limit(1).count()
@@ -67,6 +67,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return done
         small = large.join(least2, "b").select("a", "b", "m")
         small = small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least2.select(F.col("m").alias("a"), "b"))
-        new = scratch.save(small.where("a < b").distinct().mapInArrow(_forest, _EDGE).distinct(), "small")
+        new = scratch.save(small.where("a < b").distinct().mapInArrow(released(_forest), _EDGE).distinct(), "small")
         scratch.drop(now, least, large, least2)
         now = new

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_file
-from .common import Scratch, blocks, partitions, text_of, utf8_parts
+from .common import Scratch, blocks, partitions, released, text_of, utf8_parts
 from .runs import RunTable
 
 BITS, BLOCK_BITS = 8, 512
@@ -230,7 +230,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, _SEGMENT).write.mode("overwrite").parquet(path)
+    rows.mapInArrow(released(run), _SEGMENT).write.mode("overwrite").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
@@ -257,7 +257,7 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFram
                 yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])]
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))
+    return rows.mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))
 
 
 def token_index(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

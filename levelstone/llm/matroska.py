@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import released, ship, text_of
 
 RATE, FRAME, LACED, CLUSTER, ALIGN = 8000, 1024, 8, 64, 64
 
@@ -245,7 +245,7 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             raws = [t.encode() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array([mux(payload_of(r)) for r in raws], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(released(run), "doc_id long, n_bytes long, media binary")
 
 
 PACKET = "track int, timestamp_ns long, cluster int, frame int, start long, end long, key boolean"
@@ -270,7 +270,7 @@ def packets(stored: DataFrame, key: str = "doc_id", media: str = "media") -> Dat
 
     kind = dict(stored.dtypes)[key]
     rows = stored.where(F.col(media).isNotNull()).select(F.col(key).alias("key_"), F.col(media).alias("media"))
-    return rows.mapInArrow(run, f"key_ {kind}, {PACKET}, error string").withColumnRenamed("key_", key)
+    return rows.mapInArrow(released(run), f"key_ {kind}, {PACKET}, error string").withColumnRenamed("key_", key)
 
 
 def features_of(media: Media, samples: np.ndarray) -> str:
@@ -297,4 +297,4 @@ def read_back(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(released(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

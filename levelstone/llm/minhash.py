@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, ship, text_of, utf8_parts
+from .common import Scratch, blocks, released, ship, text_of, utf8_parts
 from .components import components
 from .wordhash import mix, shingles
 
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ship(spark)
     scratch = Scratch(spark, "near-duplicates")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    rows = scratch.save(source.mapInArrow(_features, _FEATURES), "features")
+    rows = scratch.save(source.mapInArrow(released(_features), _FEATURES), "features")
     sets = rows.where("n_shingles > 0 and doc_id is not null")
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "keys")))
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")

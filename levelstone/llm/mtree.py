@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, released, ship
 
 SCALE, K = 1024, 10
 PIVOTS, CELL, PAGE, QUERY_BLOCK = 256, 4096, 64, 2048
@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, vec_id: str = "vec_i
             near = _distances(_lift(_matrix(batch.column(1), width), reach), lifted).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32())], ["vec_id", "v", "pivot"])
 
-    dealt = scratch.save(rows.mapInArrow(assign, "vec_id long, v array<long>, pivot int"), "rows")
+    dealt = scratch.save(rows.mapInArrow(released(assign), "vec_id long, v array<long>, pivot int"), "rows")
     counts = {p: n for p, n in dealt.groupBy("pivot").count().collect()}  # PIVOTS rows at most
     first, cells = {}, 0
     small: list[tuple[int, int]] = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ship, text_of, utf8_parts
+from .common import blocks, released, ship, text_of, utf8_parts
 from .wordhash import _powers, mix
 
 SLOTS = 1 << 18
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
                 cut = pa.array(at, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(cut, pa.array(slot, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(value, pa.float32()))], ["o", "y", "slot", "value"])
 
-    got = rows.select("o", "text", "y").mapInArrow(run, "o string, y int, slot array<int>, value array<float>").toArrow()
+    got = rows.select("o", "text", "y").mapInArrow(released(run), "o string, y int, slot array<int>, value array<float>").toArrow()
     got = got.sort_by("o").slice(0, limit).combine_chunks()  # repeated ids bring no more rows than the bound
     slot, value = got["slot"].combine_chunks() if got.num_rows else None, got["value"].combine_chunks() if got.num_rows else None
     labels_ = got["y"].to_pylist()
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             out = [own.score(*features(raw[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in blocks(off)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *out]))], ["doc_id", "score"])
 
-    scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(released(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -178,4 +178,4 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out = [own.score(*features(raw[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in blocks(off)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *out]) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

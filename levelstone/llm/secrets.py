@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import released, ship, text_of
 from .forest import Forest, fit_forest
 
 # Names that secrets are assigned to, published prefixes of keys, words of the dictionary and of contexts.
@@ -201,7 +201,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"), where.alias("path"))
-    return rows.mapInArrow(run, "doc_id long, start int, end int, kind string, length int, value_sha256 string, score double, is_secret boolean")
+    return rows.mapInArrow(released(run), "doc_id long, start int, end int, kind string, length int, value_sha256 string, score double, is_secret boolean")
 
 
 def redacted(docs: DataFrame, text: str = "text", path: str | None = "source", mark: str = "<SECRET>", forest: Forest | None = None) -> DataFrame:
@@ -234,4 +234,4 @@ def redacted(docs: DataFrame, text: str = "text", path: str | None = "source", m
                 columns[count] = pa.array(sizes, columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -17,7 +17,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, partitions, ship, text_of, utf8_parts
+from .common import Scratch, blocks, partitions, released, ship, text_of, utf8_parts
 from .wordhash import gram, words
 
 MIN_WORDS, PREFIX, GRAM = 50, 25, 8
@@ -115,7 +115,7 @@ def _shared(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Rows (key, doc, pos) whose key is held by more than one document."""
     n = partitions(rows.sparkSession)
     array = rows.repartitionByRange(n, "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
-    found = scratch.save(array.mapInArrow(_neighbours, _ROW + ", edge boolean"), name)
+    found = scratch.save(array.mapInArrow(released(_neighbours), _ROW + ", edge boolean"), name)
     # two lines at most for each task, times the tasks: the ends of the sorted parts
     ends = found.where("edge and pos = -1").groupBy("key").agg((F.min("doc") != F.max("doc")).alias("many")).where("many").select("key")
     sure = found.where("not edge").select("key", "doc", "pos")
@@ -175,10 +175,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ship(spark)
     scratch = Scratch(spark, "passages")
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), text_of(docs, text).alias("text"))
-    array = scratch.save(source.mapInArrow(_suffixes(min_words, prefix), _ROW), "suffixes")
+    array = scratch.save(source.mapInArrow(released(_suffixes(min_words, prefix)), _ROW), "suffixes")
     kept = _shared(array, scratch, "neighbours").groupBy("doc").agg(F.collect_set("pos").alias("at"))
     held = source.join(kept, "doc")
-    windows = scratch.save(held.select("doc", "text", "at").mapInArrow(_windows(min_words, prefix), _ROW), "windows")
+    windows = scratch.save(held.select("doc", "text", "at").mapInArrow(released(_windows(min_words, prefix)), _ROW), "windows")
     scratch.drop(array)
     repeated = _shared(windows, scratch, "repeated").groupBy("doc").agg(F.collect_set("pos").alias("at"))
-    return repeated.mapInArrow(_spans(min_words), "doc_id long, start_word int, end_word int, n_words int")
+    return repeated.mapInArrow(released(_spans(min_words)), "doc_id long, start_word int, end_word int, n_words int")
