@@ -6,9 +6,10 @@ zeros (6 bits) and ``MANTISSA`` bits that follow. Empty buckets borrow from fill
 bucket alone, so a register of two sets agrees with probability J. Bands of ``ROWS`` registers propose pairs, the
 collision-corrected estimate of J thins them, and full sets confirm them.
 
-No pair list of a group is ever made. In a bucket, members are compared in cells of at most two blocks of ``BLOCK``
+No pair list of a group is ever made. In a bucket, members are compared in cells of one or two blocks of about ``BLOCK``
 members, and a cell gives out a spanning forest of what it finds; the same holds when full sets are compared inside
-one candidate cluster. So rows grow with members (times blocks for a group of more than ``BLOCK`` different sets).
+one candidate cluster. A larger group is first compared with a few hubs in each block, and only rows that this leaves
+outside the group's largest component meet the whole group: rows grow with members, and with the blocks of the rest.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SLACK = 5.0
 BLOCK = 2048
 #: The same for full sets, whose size counts as well.
 TEXT_BLOCK, SHINGLE_BLOCK = 512, 1_000_000
+#: Rows, on average, that every part of a large group holds; it changes the work, never the links.
+HUBS = 8
 
 
 def _borrow_order() -> np.ndarray:
@@ -196,13 +199,42 @@ def _verified_forest(group: pa.Table) -> pa.Table:
     return _edges(_search(ids, near))
 
 
-def _cells(df: DataFrame, key: str, n: Column) -> DataFrame:
-    """Deal each group's rows to ``n`` blocks and to the cells of all pairs of blocks; a group of one block is one cell."""
-    df = df.withColumn("_n", n.cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(o, F.col("_b")).alias("i"), F.greatest(o, F.col("_b")).alias("j")))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    df = df.withColumn("_cell", F.explode(F.when(F.col("_n") > 1, pair).otherwise(one)))
-    return df.withColumn("cell", F.xxhash64(key, "_cell.i", "_cell.j")).drop("_n", "_b", "_cell")
+def _cell(*place: Column) -> Column:
+    return F.xxhash64("key", *place).alias("cell")
+
+
+def _linked(groups: DataFrame, compare, scratch: Scratch) -> DataFrame:
+    """Components under the links that ``compare(cells)`` finds inside the groups of ``groups(key, node, load, members, parts)``.
+
+    ``load`` is a row's share of a part. A group of one part is one cell, whose pairs all count. A larger group is dealt
+    to its parts, and about ``HUBS`` of its rows are in every part, so that near copies are tied together in as many rows
+    as there are. A link inside one component says nothing new: what is left are the links of rows outside a group's
+    largest component, which meet all its rows in a second round.
+    """
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    hub = F.pmod(F.xxhash64("node", F.lit(1)), F.col("members")) < HUBS
+    parts = F.when((F.col("parts") > 1) & hub, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
+    first = groups.withColumn("part", F.explode(parts)).withColumn("cell", _cell(F.col("part")))
+    done = components(compare(first), scratch)
+
+    large = groups.where("parts > 1").join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    shares = large.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
+    top = shares.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("top"))
+    rest = shares.join(top, "key").where("component <> top").groupBy("key", "top").agg(F.ceil(F.sum("load")).cast("int").alias("rest"))
+    again = scratch.save(large.join(rest, "key"), "unsettled")
+    if again.limit(1).count():
+        place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        mine = F.pmod(F.xxhash64("node", F.lit(2)), F.col("rest")).cast("int")
+        met = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda i: place(i, part))
+        meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: place(mine, j))
+        both = F.when(F.col("component") == F.col("top"), met).otherwise(F.array_union(met, meets))
+        second = again.withColumn("at", F.explode(both)).withColumn("cell", _cell(F.col("at.i"), F.col("at.j")))
+        known = done.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        more = components(known.unionByName(compare(second)), scratch)
+        scratch.drop(done)
+        done = more
+    scratch.drop(again)
+    return done
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,18 +255,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     bands = classes.select("node", F.explode("keys").alias("key"))
     shared = scratch.save(bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    members = scratch.save(bands.join(shared, "key"), "members")
-    cells = _cells(members.join(classes.select("node", "n_shingles", "sketch"), "node"), "key", F.ceil(F.col("members") / BLOCK))
-    candidates = cells.select("cell", "node", "n_shingles", "sketch").groupBy("cell").applyInArrow(_bucket_forest, "a long, b long")
-    clusters = components(candidates, scratch)
-
-    who = clusters.join(classes.select("node", "digest", F.col("least").alias("doc_id"), "n_shingles"), "node")
-    sizes = who.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TEXT_BLOCK, F.sum("n_shingles") / SHINGLE_BLOCK)).alias("parts"))
-    who = scratch.save(who.drop("n_shingles").join(sizes, "component"), "clusters")
-    # the clusters grow with the data: texts and clusters meet by shuffles, whatever their size
-    cells = _cells(source.join(who.hint("merge"), "doc_id"), "component", F.col("parts"))
-    links = cells.select("cell", "node", "digest", "text").groupBy("cell").applyInArrow(_verified_forest, "a long, b long")
-    linked = components(links, scratch)
+    load = F.lit(1 / BLOCK)
+    members = scratch.save(bands.join(shared, "key").select("key", "node", "members", load.alias("load"), F.ceil(F.col("members") * load).cast("int").alias("parts")), "members")
+
+    def estimated(cells: DataFrame) -> DataFrame:
+        held = cells.select("cell", "node").join(classes.select("node", "n_shingles", "sketch"), "node")
+        return held.groupBy("cell").applyInArrow(_bucket_forest, "a long, b long")
+
+    clusters = _linked(members, estimated, scratch)
+
+    load = F.greatest(F.lit(1 / TEXT_BLOCK), F.col("n_shingles") / SHINGLE_BLOCK)
+    who = clusters.join(classes.select("node", "digest", F.col("least").alias("doc_id"), load.alias("load")), "node").withColumnRenamed("component", "key")
+    sizes = who.groupBy("key").agg(F.count("*").alias("members"), F.ceil(F.sum("load")).cast("int").alias("parts"))
+    who = scratch.save(who.join(sizes, "key"), "clusters")
+
+    def verified(cells: DataFrame) -> DataFrame:
+        # the clusters grow with the data: texts and clusters meet by shuffles, whatever their size
+        held = source.join(cells.select("cell", "node", "digest", "doc_id").hint("merge"), "doc_id")
+        return held.select("cell", "node", "digest", "text").groupBy("cell").applyInArrow(_verified_forest, "a long, b long")
+
+    linked = _linked(who, verified, scratch)
 
     named = linked.join(classes.select("node", "least"), "node")
     named = scratch.save(named.select("node", "component", "least"), "named")
@@ -251,6 +291,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs``, with all their columns, whose document is kept: one of each near-duplicate group. Rows of one
     doc_id stay or go together, equal ones of them once; rows with a null doc_id stay."""
-    kept = near_duplicates(docs, doc_id, text).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col(doc_id).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([doc_id, text])
+    own = "_kept"
+    while own.lower() in {c.lower() for c in docs.columns}:
+        own += "_"
+    kept = near_duplicates(docs, doc_id, text).where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    stay = docs.join(kept, F.col(doc_id).cast("long") == F.col(own), "left_semi").dropDuplicates([doc_id, text])
     return stay.unionByName(docs.where(F.col(doc_id).isNull()))

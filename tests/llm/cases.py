@@ -45,7 +45,7 @@ def frame(spark, rows=None, extra=True):
 
     df = spark.createDataFrame(documents() if rows is None else rows, SCHEMA)
     if extra:  # columns whose names operators might use themselves
-        df = df.withColumns({c: F.lit("clash") for c in ("component", "key", "size", "node", "digest", "start", "row", "_copy", "n_tokens")})
+        df = df.withColumns({c: F.lit("clash") for c in ("component", "key", "size", "node", "digest", "start", "row", "_copy", "_kept", "n_tokens")})
     return df
 
 

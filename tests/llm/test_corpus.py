@@ -80,6 +80,26 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == components({i: shingle_set(t) for i, t, _, _ in rows})
 
 
+def test_a_large_group_of_several_classes(spark, monkeypatch):
+    """Parts that hubs don't tie: classes of one bucket, chains at the threshold, and rows that link with nothing."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "TEXT_BLOCK", 5)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(110):  # a window that moves along: neighbours are near, ends are not
+        w = list(base)
+        for k in range(i % 37):
+            w[k] = f"y{k}"
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = f"x{rng.random()}"
+        rows.append((1000 - i, " ".join(w), "en", "s"))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    want = components({i: shingle_set(t) for i, t, _, _ in rows})
+    assert got == want and 1 < len(set(want.values())) < len(want)
+
+
 def test_estimate_is_corrected_and_close():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.75, 0.9):
