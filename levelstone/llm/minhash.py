@@ -269,10 +269,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sizes = who.groupBy("key").agg(F.count("*").alias("members"), F.ceil(F.sum("load")).cast("int").alias("parts"))
     who = scratch.save(who.join(sizes, "key"), "clusters")
 
+    # the clusters grow with the data: all texts and clusters meet by a shuffle, whatever their size, and only once
+    texts = scratch.save(source.join(who.select("node", "digest", "doc_id").hint("merge"), "doc_id").select("node", "digest", "text"), "texts")
+
     def verified(cells: DataFrame) -> DataFrame:
-        # the clusters grow with the data: texts and clusters meet by shuffles, whatever their size
-        held = source.join(cells.select("cell", "node", "digest", "doc_id").hint("merge"), "doc_id")
-        return held.select("cell", "node", "digest", "text").groupBy("cell").applyInArrow(_verified_forest, "a long, b long")
+        held = texts.join(cells.select("cell", "node").hint("merge"), "node")
+        return held.groupBy("cell").applyInArrow(_verified_forest, "a long, b long")
 
     linked = _linked(who, verified, scratch)
 
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     label = named.join(name, "component").select("node", "component_id")
     label = classes.select("node", "digest", "least").join(label, "node", "left")
     label = scratch.save(label.select("digest", F.coalesce("component_id", "least").alias("component_id")), "labels")
-    scratch.drop(shared, members, classes, clusters, who, linked, named)
+    scratch.drop(shared, members, classes, clusters, who, texts, linked, named)
     out = rows.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
