@@ -6,6 +6,11 @@ zeros (6 bits) and ``MANTISSA`` bits that follow. Empty buckets borrow from fill
 bucket alone, so a register of two sets agrees with probability J. Bands of ``ROWS`` registers propose pairs, the
 collision-corrected estimate of J thins them, and full sets confirm them.
 
+Registers of a small set hang together, as they borrow from a few buckets, so no bound on an estimate holds for them.
+Pairs with a set of at most ``SMALL`` shingles are found exactly: a set's shingles in order of how many sets have them,
+rarest first, must share one of the first n - ceil(0.75 n) + 1 with any set that is near enough, and such pairs are
+compared by their shingles at once.
+
 No pair list of a group is ever made. In a bucket, members are compared in cells of one or two blocks of about ``BLOCK``
 members, and a cell gives out a spanning forest of what it finds; the same holds when full sets are compared inside
 one candidate cluster. A larger group is first compared with a few hubs in each block, and only rows that this leaves
@@ -27,6 +32,9 @@ from .wordhash import mix, shingles
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
+#: Sets of so many shingles are compared exactly; REACH is the size of the largest set that can be near one of them.
+SMALL = 64
+REACH = SMALL * DENOMINATOR // NUMERATOR
 #: Standard deviations of the estimate that a candidate may lie under the threshold.
 SLACK = 5.0
 BLOCK = 2048
@@ -97,7 +105,7 @@ def digest_of(hashes: np.ndarray) -> str | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest() if len(hashes) else None
 
 
-_FEATURES = "doc_id long, n_shingles long, digest string, sketch binary, keys array<long>"
+_FEATURES = "doc_id long, n_shingles long, digest string, sketch binary, keys array<long>, small array<long>"
 
 
 def _features(batches):
@@ -111,9 +119,10 @@ def _features(batches):
             keys = band_keys(registers).astype(np.int64)
             sizes = np.diff(at)
             digests = [digest_of(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+            small = [h[a:b].astype(np.int64) if b - a <= REACH else None for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * keys.shape[1], keys.shape[1]), pa.int32()), pa.array(keys.ravel(), pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "sketch", "keys"],
+                [ids.slice(i, j - i).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * keys.shape[1], keys.shape[1]), pa.int32()), pa.array(keys.ravel(), pa.int64())), pa.array(small, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "digest", "sketch", "keys", "small"],
             )
 
 
@@ -136,8 +145,29 @@ def _edges(found: list[tuple[int, int]]):
     return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
 
+def _meets(h: np.ndarray, at: np.ndarray):
+    """``near(i, some)`` that says exactly which of the sets ``h[at[k]:at[k+1]]``, k in ``some``, reach the threshold with set i."""
+    _, code = np.unique(h, return_inverse=True)
+    sizes = np.diff(at)
+    mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+
+    def near(i, some):
+        if not len(some):
+            return np.zeros(0, bool)
+        mine = code[at[i] : at[i + 1]]
+        mark[mine] = True
+        length = sizes[some]
+        cut = np.concatenate(([0], np.cumsum(length)))
+        spot = np.arange(cut[-1]) + np.repeat(at[some] - cut[:-1], length)
+        both = np.add.reduceat(mark[code[spot]].astype(np.int64), cut[:-1])
+        mark[mine] = False
+        return DENOMINATOR * both >= NUMERATOR * (length + sizes[i] - both)
+
+    return near
+
+
 def _bucket_forest(group: pa.Table) -> pa.Table:
-    """Candidates in one cell of a band bucket: sets whose estimate comes near the threshold."""
+    """Candidates in one cell of a bucket: sets whose estimate comes near the threshold, small ones by their shingles."""
     if group.num_rows < 2:
         return _edges([])
     group = group.sort_by("node")
@@ -145,11 +175,17 @@ def _bucket_forest(group: pa.Table) -> pa.Table:
     registers = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
     sizes = group["n_shingles"].to_numpy()
     least = least_equal()
+    small = group["small"].combine_chunks()
+    exact = _meets(small.flatten().to_numpy(), np.concatenate(([0], np.cumsum(small.value_lengths().fill_null(0).to_numpy()))))
 
     def near(i, rest):
         lo, hi = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         hit = DENOMINATOR * lo >= NUMERATOR * hi
-        hit[hit] = (registers[rest[hit]] == registers[i]).sum(axis=1) >= least
+        some, few = rest[hit], lo[hit] <= SMALL
+        ok = np.zeros(len(some), bool)
+        ok[few] = exact(i, some[few])
+        ok[~few] = (registers[some[~few]] == registers[i]).sum(axis=1) >= least
+        hit[hit] = ok
         return hit
 
     return _edges(_search(ids, near))
@@ -178,22 +214,12 @@ def _verified_forest(group: pa.Table) -> pa.Table:
     own = np.array(own) & np.concatenate(([True], ids[1:] != ids[:-1])) if all(own) else _first_true(ids, np.array(own))
     h, sizes = h[np.repeat(own, np.diff(at))], np.diff(at)[own]
     ids, at = ids[own], np.concatenate(([0], np.cumsum(sizes)))
-    _, code = np.unique(h, return_inverse=True)
-    mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+    exact = _meets(h, at)
 
     def near(i, rest):
-        mine = code[at[i] : at[i + 1]]
         lo, hi = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         hit = DENOMINATOR * lo >= NUMERATOR * hi
-        some = rest[hit]
-        if len(some):
-            mark[mine] = True
-            length = sizes[some]
-            cut = np.concatenate(([0], np.cumsum(length)))
-            spot = np.arange(cut[-1]) + np.repeat(at[some] - cut[:-1], length)
-            both = np.add.reduceat(mark[code[spot]].astype(np.int64), cut[:-1])
-            mark[mine] = False
-            hit[hit] = DENOMINATOR * both >= NUMERATOR * (length + sizes[i] - both)
+        hit[hit] = exact(i, rest[hit])
         return hit
 
     return _edges(_search(ids, near))
@@ -237,6 +263,20 @@ def _linked(groups: DataFrame, compare, scratch: Scratch) -> DataFrame:
     return done
 
 
+def _rare_keys(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, key) of the shingles that a set of up to ``REACH`` shares with every set near it, if there is any.
+
+    Shingles of one set alone come first in the order of counts and can't be shared, so a text with enough words of its
+    own has no key, whatever common lines it holds.
+    """
+    held = classes.where(F.col("small").isNotNull()).select("node", "n_shingles", F.explode("small").alias("shingle"))
+    shared = scratch.save(held.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-shingles")
+    own = held.join(shared, "shingle").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * NUMERATOR / DENOMINATOR) + 1 - (F.col("n_shingles") - F.size("shared"))
+    own = own.withColumn("first", first.cast("int")).where("first > 0")
+    return own.select("node", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("s")).select("node", F.xxhash64("s.shingle").alias("key"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -250,16 +290,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     rows = scratch.save(source.mapInArrow(released(_features), _FEATURES), "features")
     sets = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "keys")))
+    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "keys", "small")))
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    bands = classes.select("node", F.explode("keys").alias("key"))
+    bands = classes.select("node", F.explode("keys").alias("key")).unionByName(_rare_keys(classes, scratch))
+    bands = scratch.save(bands, "keys")
     shared = scratch.save(bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     load = F.lit(1 / BLOCK)
     members = scratch.save(bands.join(shared, "key").select("key", "node", "members", load.alias("load"), F.ceil(F.col("members") * load).cast("int").alias("parts")), "members")
 
     def estimated(cells: DataFrame) -> DataFrame:
-        held = cells.select("cell", "node").join(classes.select("node", "n_shingles", "sketch"), "node")
+        held = cells.select("cell", "node").join(classes.select("node", "n_shingles", "sketch", "small"), "node")
         return held.groupBy("cell").applyInArrow(_bucket_forest, "a long, b long")
 
     clusters = _linked(members, estimated, scratch)
@@ -284,7 +325,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     label = named.join(name, "component").select("node", "component_id")
     label = classes.select("node", "digest", "least").join(label, "node", "left")
     label = scratch.save(label.select("digest", F.coalesce("component_id", "least").alias("component_id")), "labels")
-    scratch.drop(shared, members, classes, clusters, who, texts, linked, named)
+    scratch.drop(bands, shared, members, classes, clusters, who, texts, linked, named)
     out = rows.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

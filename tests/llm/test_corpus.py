@@ -100,6 +100,21 @@ def test_a_large_group_of_several_classes(spark, monkeypatch):
     assert got == want and 1 < len(set(want.values())) < len(want)
 
 
+def test_short_texts_match_brute_force(spark):
+    """Pairs of a few shingles at the very threshold, whose registers hang together, in many small groups and under one common line."""
+    rng = random.Random(21)
+    rows, common = [], [f"c{i}" for i in range(9)]
+    for n, m in [(7, 8)] * 300 + [(8, 9)] * 100 + [(10, 12)] * 100 + [(52, 69), (68, 73), (30, 33), (12, 12)] * 5:
+        w = [f"v{rng.random()}" for _ in range(m)]
+        rows += [(len(rows), " ".join(w[:n]), "en", "s"), (len(rows) + 1, " ".join(w), "en", "s")]
+    for _ in range(60):
+        w = common + [f"v{rng.random()}" for _ in range(rng.randint(0, 6))]
+        rows += [(len(rows), " ".join(w), "en", "s"), (len(rows) + 1, " ".join(w[:-1]), "en", "s")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    want = components({i: shingle_set(t) for i, t, _, _ in rows})
+    assert got == want and 500 < len(set(want.values())) < len(rows)
+
+
 def test_estimate_is_corrected_and_close():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.75, 0.9):
