@@ -23,8 +23,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 #: Rows that a block of the digest order holds on average, at most; the number of blocks is a power of 16.
 BLOCK_ROWS = 256
-#: (t, factor) knots of a schedule, by the source's place in code-point order; a factor multiplies the source's weight.
+#: (t, factor) knots of a schedule; a factor multiplies the weight of a source.
 CONSTANT = ((0.0, 1.0), (1.0, 1.0))
+#: The curriculum of query and pipeline: a third of the sources fades out, a third stays, a third comes in. Each has
+#: the integral 1, so a source's share of the whole is its weight.
+CURRICULUM = (((0.0, 1.75), (0.5, 1.0), (1.0, 0.25)), CONSTANT, ((0.0, 0.25), (0.5, 1.0), (1.0, 1.75)))
+
+
+def area_of(schedule) -> float:
+    return float(sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:])))
+
+
+def _schedules(schedule) -> tuple:
+    """One schedule for all sources, or a tuple of them that sources take by place in turn."""
+    return schedule if isinstance(schedule[0][0], (tuple, list)) else (schedule,)
+
+
+def _turn(place: Column, n: int) -> Column:
+    return F.pmod(place, F.lit(n))
 
 
 def size_of(text: Column) -> Column:
@@ -40,8 +56,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     """
     everything = Window.partitionBy()
     order = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
-    area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:]))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int")) * F.lit(float(area))
+    areas = [area_of(x) for x in _schedules(schedule)]
+    of_place = lambda values: F.element_at(F.array(*map(F.lit, values)), (_turn(F.col("place"), len(values)) + 1).cast("int"))
+    weight = of_place(weights) * of_place(areas)
     cap = F.col("source_size").cast("double") * F.lit(float(MAX_REPEATS))
     t = sizes.withColumn("place", F.row_number().over(order) - 1).withColumn("weight", weight).withColumn("cap", cap)
     rank = Window.partitionBy().orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,8 +74,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
 
 def _inverse(share: Column, schedule) -> Column:
     """Time at which a schedule's integral reaches ``share`` of its whole: a root of a quadratic on one piece."""
-    total = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:]))
-    want, done, out = share * F.lit(float(total)), 0.0, []
+    want, done, out = share * F.lit(area_of(schedule)), 0.0, []
     for (t0, f0), (t1, f1) in zip(schedule, schedule[1:]):
         piece, slope = (t1 - t0) * (f0 + f1) / 2, (f1 - f0) / (t1 - t0)
         need = want - F.lit(done)
@@ -75,6 +91,15 @@ def _inverse(share: Column, schedule) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), position))
 
 
+def _position(share: Column, place: Column, schedule) -> Column:
+    """Training time of ``share`` of a source's demand, by the source's own schedule."""
+    parts = _schedules(schedule)
+    out = _inverse(share, parts[-1])
+    for i, part in enumerate(parts[:-1]):
+        out = F.when(_turn(place, len(parts)) == i, _inverse(share, part)).otherwise(out)
+    return out
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, *more) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text_of(docs, text)).alias("size"), *more)
     # the digest order, and a key under which a null source equals itself
@@ -89,7 +114,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     source size says, and the rest of the target goes to documents in digest order, the last one in part, so that a
     source's taken words are its target without the fraction. ``position`` is in [0, 1], null where nothing is taken.
     Null and empty texts have size 0 and are taken 0. A null source is a source. Rows with a null or a repeated doc_id
-    are ordered by their sizes. An empty table gives an empty result. With ``carry`` a column ``row`` holds the whole
+    are ordered by their sizes. ``schedule`` is one for all sources, or a tuple of schedules that sources take in turn
+    by their place in code-point order, so that the mix changes over training time. An empty table gives an empty result. With ``carry`` a column ``row`` holds the whole
     row of ``docs``, whatever its columns are called.
     """
     scratch = Scratch(docs.sparkSession, "mix")
@@ -100,7 +126,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     targets = source_targets(sums.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, schedule)
     ahead = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("key", "block", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")).join(targets.drop("source"), "key")
-    sums = scratch.save(sums.select("key", "block", "ahead", "source_size", "target"), "demand")
+    sums = scratch.save(sums.select("key", "block", "ahead", "source_size", "place", "target"), "demand")
 
     rows = _keyed(docs, doc_id, text, source, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if carry else light
     dealt = rows.withColumn("block", block).join(sums, ["key", "block"])
@@ -112,7 +138,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     part = F.greatest(F.lit(0), F.least(F.col("size"), over - F.col("start")))
     dealt = dealt.withColumn("taken", (F.col("turns") * F.col("size") + part).cast("long"))
     share = (F.col("turns") * F.col("start") + F.least(F.col("start"), over) + F.col("taken") / 2) / F.greatest(F.col("target"), F.lit(1.0))
-    position = F.when(F.col("taken") > 0, _inverse(F.least(F.lit(1.0), share), schedule))
+    position = F.when(F.col("taken") > 0, _position(F.least(F.lit(1.0), share), F.col("place"), schedule))
     out = dealt.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("position"), *(["row"] if carry else []))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 

@@ -37,7 +37,13 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The contract's columns, in the order of training."""
+    return mixing.mix(table(spark, sf_dir, "documents"), schedule=mixing.CURRICULUM).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_source_mixing_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mix with its sources and training positions, which the SQL of op6_source_mixing doesn't have."""
+    return mixing.mix(table(spark, sf_dir, "documents"), schedule=mixing.CURRICULUM)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +63,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_token_ids, op6_source_mixing, op7_quality_classifier, op8_secret_scan, op9_media_columns, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_token_ids, op6_source_mixing, op6_source_mixing_positions, op7_quality_classifier, op8_secret_scan, op9_media_columns, op10_top_k)}
 
 
 def _quoted(s: str) -> str:

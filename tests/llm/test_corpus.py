@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from levelstone.llm import bpe, dac, licenses, matroska, minhash, mixing, mtree, quality, secrets, suffixes
+import corpus_pipeline
+from levelstone.llm import bpe, dac, licenses, matroska, minhash, mixing, mtree, quality, queries, secrets, suffixes
 from levelstone.llm.common import utf8_parts
 from levelstone.llm.queries import vocabulary_path
 from levelstone.llm.wordhash import shingles
@@ -265,6 +266,28 @@ def test_curriculum_moves_positions(spark):
     assert sum(r.position <= 0.5 for r in early) == pytest.approx(160, abs=2)  # 1.0 of 1.25
 
 
+def test_sources_have_their_own_schedules(spark, tmp_path):
+    """Opposite schedules: one source fades out while the other comes in, and targets follow each one's integral."""
+    rows = [(i, "a b c d", "en", "fg"[i % 2]) for i in range(400)]
+    falls, rises = ((0.0, 2.0), (1.0, 0.0)), ((0.0, 0.0), (1.0, 2.0))
+    got = mixing.mix(frame(spark, rows), weights=(1.0,), schedule=(falls, rises)).collect()
+    for source, early in (("f", 150), ("g", 50)):  # the integral up to 1/2 is 3/4 or 1/4
+        at = [r.position for r in got if r.source == source]
+        assert len(at) == 200 and sum(x <= 0.5 for x in at) == pytest.approx(early, abs=2)
+    thrice = mixing.mix(frame(spark, rows), weights=(1.0,), schedule=(falls, ((0.0, 0.0), (1.0, 6.0)))).collect()
+    assert {r.source: r.target for r in thrice} == {"f": 400.0, "g": 1200.0}
+
+    assert [mixing.area_of(x) for x in mixing.CURRICULUM] == [1.0, 1.0, 1.0]
+    frame(spark, [(i, "a b c d", "en", "fgh"[i % 3]) for i in range(300)], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    mixed = queries.op6_source_mixing_positions(spark, str(tmp_path)).where("taken > 0").collect()
+    mean = {s: np.average([r.position for r in mixed if r.source == s]) for s in "fgh"}
+    assert mean["f"] < 0.42 < mean["g"] < 0.58 < mean["h"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stage = [r.source for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, str(tmp_path)).collect()]
+    half = len(stage) // 2
+    assert stage[:half].count("f") > 1.5 * stage[half:].count("f") and stage[half:].count("h") > 1.5 * stage[:half].count("h")
+
+
 def test_quality_is_learned_and_held_out(spark):
     rng = random.Random(0)
     good = [(i, " ".join(rng.choice(["the", "sea", "was", "calm", "and", "blue."]) for _ in range(30)), "en", "s") for i in range(300)]
