@@ -20,6 +20,16 @@ def query(f):
     return f
 
 
+def simulated(f):
+    """Registers a simulation query with the paths of its SQL, and as ``..._full``, without SQL, with the reference's."""
+
+    def full(spark, d):
+        return f(spark, d, bootstrap.N_SIM)
+
+    QUERIES[f"{f.__name__}_full"] = full
+    return query(f)
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -36,8 +46,8 @@ def _walk(spark, d):
     return distribution.with_distance(bars.walk_bars(spark, d))
 
 
-def _paths(spark, d, **options):
-    return inference.simulate(bars.walk_bars(spark, d), **{"n_sim": SIMS, **options})
+def _paths(spark, d, n_sim, **options):
+    return inference.simulate(bars.walk_bars(spark, d), n_sim, **options)
 
 
 def _found(spark, d):
@@ -45,7 +55,7 @@ def _found(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return null_band(spark, sf_dir)
+    return null_band(spark, sf_dir, bootstrap.N_SIM)
 
 
 # variables
@@ -332,39 +342,39 @@ def variable_dictionary(spark, d):
 # simulation and inference
 
 
-@query
-def bootstrap_draws(spark, d):
-    drawn = bootstrap.draws(bootstrap.series_arrays(bars.walk_bars(spark, d)), SIMS)
+@simulated
+def bootstrap_draws(spark, d, n_sim=SIMS):
+    drawn = bootstrap.draws(bootstrap.series_arrays(bars.walk_bars(spark, d)), n_sim)
     return _rounded(drawn.select("sim", "t", "step"))
 
 
-@query
-def bootstrap_paths(spark, d):
-    return _rounded(_paths(spark, d).select("sim", "t", "price"), 4)
+@simulated
+def bootstrap_paths(spark, d, n_sim=SIMS):
+    return _rounded(_paths(spark, d, n_sim).select("sim", "t", "price"), 4)
 
 
 @query
 def bootstrap_numpy(spark, d):
     walk = bars.walk_bars(spark, d)
     n = walk.count() - 1
-    starts = bootstrap.numpy_starts(spark, n, n, SIMS)
-    return _rounded(inference.null_band(inference.occupancy_null(inference.simulate(walk, SIMS, starts=starts)), _walk(spark, d)))
+    starts = bootstrap.numpy_starts(spark, n, n, bootstrap.N_SIM)
+    return _rounded(inference.null_band(inference.occupancy_null(inference.simulate(walk, bootstrap.N_SIM, starts=starts)), _walk(spark, d)))
 
 
-@query
-def occupancy_null(spark, d):
-    return _rounded(inference.occupancy_null(_paths(spark, d)).select("sim", "statistic", "value"))
+@simulated
+def occupancy_null(spark, d, n_sim=SIMS):
+    return _rounded(inference.occupancy_null(_paths(spark, d, n_sim)).select("sim", "statistic", "value"))
 
 
-@query
-def null_band(spark, d):
-    return inference.null_band(inference.occupancy_null(_paths(spark, d)), _walk(spark, d))
+@simulated
+def null_band(spark, d, n_sim=SIMS):
+    return inference.null_band(inference.occupancy_null(_paths(spark, d, n_sim)), _walk(spark, d))
 
 
-@query
-def bin_band(spark, d):
+@simulated
+def bin_band(spark, d, n_sim=SIMS):
     sample = _walk(spark, d)
-    return inference.bin_band(_paths(spark, d), distribution.distance_bins(sample).select("bin", "observations"), sample.agg(F.count("distance").alias("n")))
+    return inference.bin_band(_paths(spark, d, n_sim), distribution.distance_bins(sample).select("bin", "observations"), sample.agg(F.count("distance").alias("n")))
 
 
 @query
@@ -372,24 +382,24 @@ def near_far_effect(spark, d):
     return _rounded(inference.near_far_effect(bars.walk_bars(spark, d)), 8)
 
 
-@query
-def near_far_null(spark, d):
-    return _rounded(inference.near_far_null(_paths(spark, d)), 8)
+@simulated
+def near_far_null(spark, d, n_sim=SIMS):
+    return _rounded(inference.near_far_null(_paths(spark, d, n_sim)), 8)
 
 
-@query
-def near_far_band(spark, d):
-    return inference.near_far_band(bars.walk_bars(spark, d), _paths(spark, d))
+@simulated
+def near_far_band(spark, d, n_sim=SIMS):
+    return inference.near_far_band(bars.walk_bars(spark, d), _paths(spark, d, n_sim))
 
 
-@query
-def power_analysis(spark, d):
-    return inference.power(null_band(spark, d), "statistic")
+@simulated
+def power_analysis(spark, d, n_sim=SIMS):
+    return inference.power(null_band(spark, d, n_sim), "statistic")
 
 
-@query
-def centre_table(spark, d):
-    return inference.centre_table(null_band(spark, d), _walk(spark, d).agg(F.count("distance").alias("n")))
+@simulated
+def centre_table(spark, d, n_sim=SIMS):
+    return inference.centre_table(null_band(spark, d, n_sim), _walk(spark, d).agg(F.count("distance").alias("n")))
 
 
 def _ranges(spark, d, lowest: float = 0.0):
@@ -399,45 +409,45 @@ def _ranges(spark, d, lowest: float = 0.0):
     return w.where(F.col("spread") >= lowest).select("series_id", F.row_number().over(bars.Window.partitionBy("series_id").orderBy("t")).cast("long").alias("t"), "close_price", F.round("spread", 6).alias("outcome"))
 
 
-@query
-def parkinson_robustness(spark, d):
+@simulated
+def parkinson_robustness(spark, d, n_sim=SIMS):
     """The outcome carried through the same blocks as the returns, for two samples."""
     out = None
     for name, lowest in (("as_is", 0.0), ("without_flat_hours", 12.0)):
         closes = _ranges(spark, d, lowest).select("series_id", (F.col("t") - 1).alias("t"), "close_price", "outcome")
-        paths = inference.simulate(closes, SIMS, outcome=closes.select("series_id", "t", "outcome"))
+        paths = inference.simulate(closes, n_sim, outcome=closes.select("series_id", "t", "outcome"))
         part = inference.near_far_band(closes, paths, "outcome").withColumn("sample", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query
-def sens_block_length(spark, d):
+@simulated
+def sens_block_length(spark, d, n_sim=SIMS):
     out = None
     for block in (5, 20, 50, 100):
-        part = inference.sensitivity(bars.walk_bars(spark, d), _paths(spark, d, block=block), f"block {block}")
+        part = inference.sensitivity(bars.walk_bars(spark, d), _paths(spark, d, n_sim, block=block), f"block {block}")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query
-def sens_additive(spark, d):
-    return inference.sensitivity(bars.walk_bars(spark, d), _paths(spark, d, kind="absolute"), "additive")
+@simulated
+def sens_additive(spark, d, n_sim=SIMS):
+    return inference.sensitivity(bars.walk_bars(spark, d), _paths(spark, d, n_sim, kind="absolute"), "additive")
 
 
-@query
-def sens_jitter(spark, d):
-    return inference.sensitivity(bars.walk_bars(spark, d), _paths(spark, d, offset=bootstrap.jitter(F.col("sim"))), "jittered start")
+@simulated
+def sens_jitter(spark, d, n_sim=SIMS):
+    return inference.sensitivity(bars.walk_bars(spark, d), _paths(spark, d, n_sim, offset=bootstrap.jitter(F.col("sim"))), "jittered start")
 
 
-@query
-def terminal_prices(spark, d):
-    return inference.terminal_prices(_paths(spark, d), 300.0)
+@simulated
+def terminal_prices(spark, d, n_sim=SIMS):
+    return inference.terminal_prices(_paths(spark, d, n_sim), 300.0)
 
 
-@query
-def terminal_corr(spark, d):
-    return inference.terminal_corr(_paths(spark, d))
+@simulated
+def terminal_corr(spark, d, n_sim=SIMS):
+    return inference.terminal_corr(_paths(spark, d, n_sim))
 
 
 ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}
