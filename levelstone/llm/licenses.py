@@ -22,7 +22,14 @@ EQUIVALENT = (
     ("&", " and "),
     ("https://", "http://"),
 )
-COPYRIGHT_LINE = r"(?md)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words after "copyright" in the body of a licence, whose lines may begin with it; anything else there is a name.
+BODY_WORDS = "notices? holders? owners? licen[cs]e[sd]? laws? interests? rights? protections? treaty treaties act statements? status permissions? ownership infringements? disclaimers? terms? on in of or and is are to that which this for from as at under with shall may does has if where".split()
+#: Notices, after any comment marks: copyright and a sign, a year or a name; a sign and a year; a reservation of rights.
+COPYRIGHT_LINE = (
+    r"(?md)^[^\p{L}\p{N}\n©(]*(?:(?:portions[ \t]+)?copyright(?:[ \t]*(?:\(c\)|©|&copy;|:|,?[ \t]*[<\[{]?\d{4})|[ \t]+(?!(?:"
+    + "|".join(BODY_WORDS)
+    + r")\b)[\p{L}<\[{])|\(c\)[ \t]*(?:copyright|\d{4})|©|all rights reserved)[^\n]*$"
+)
 #: Names under which licences are referred to.
 NAMES = {
     "MIT": ("MIT License", "MIT"),
@@ -52,6 +59,34 @@ TEXTS = {
     "0BSD": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.",
 }
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+)
+#: Whole licences that the SQL of the query doesn't hold.
+MORE_TEXTS = {
+    "BSD-2-Clause": (_BSD[:3], _BSD[4:]),
+    "BSD-3-Clause": (_BSD[:4], _BSD[4:]),
+    "Unlicense": (
+        'This is free and unencumbered software released into the public domain.',
+        'Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.',
+        'In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.',
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+        'For more information, please refer to <http://unlicense.org/>',
+    ),
+}
+#: Canonical digests of longer licences as published, with and without their appendix.
+DIGESTS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("4225605d4c3647ef2075217a0d52c9ca", "2f973fce6821968caa77d834b80cee7c", "a90697331248535821cbca3716b02146"),
+    "GPL-2.0": ("5e39ace6e62f5a7fe9c17b4da986ad8c", "68380dbeadb093b94ecf563db7312db7", "f2c06efe640b4a281cbe5337cdde80ab"),
+    "GPL-3.0": ("b79359b5e391fd47146ff34ae3db7ec0", "444f95dc767ede978b60cfb20fbd0bca", "17e434cc6db7003444b088cb4cc81e91"),
+    "LGPL-3.0": ("b31b7335bc37919e8cdd79154e04d88d",),
+    "MPL-2.0": ("7d4b8b0889da3c01eff3fe431102e6d6",),
+    "CC0-1.0": ("93a180096f6cfcf2c0dd24f75c2eec48",),
+}
 #: Known digests are a list of licences, not of data; more than this many are joined without a broadcast.
 BROADCAST_LICENSES = 100_000
 
@@ -63,6 +98,19 @@ def known_texts() -> list[tuple[str, str]]:
     return sorted({*notices, *titled, *TEXTS.items()})
 
 
+def more_texts() -> list[tuple[str, str]]:
+    """(licence, text) of MORE_TEXTS, with and without title, clauses numbered or not."""
+    out = []
+    for k, parts in MORE_TEXTS.items():
+        if k == "Unlicense":
+            bodies = ["\n".join(parts)]
+        else:
+            (first, *clauses), rest = parts
+            bodies = ["\n".join([first, *(f"{i}. {c}" if numbered else c for i, c in enumerate(clauses, 1)), *rest]) for numbered in (True, False)]
+        out += [(k, b) for b in bodies] + [(k, f"{NAMES[k][0]}\n{b}") for b in bodies]
+    return out
+
+
 def canonical(text: Column) -> Column:
     """Canonical text with its line breaks: a line is a run of words parted by single spaces."""
     c = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
@@ -73,14 +121,21 @@ def canonical(text: Column) -> Column:
 
 
 def _whole(c: Column) -> Column:
-    return F.trim(F.translate(F.regexp_replace(c, r"\n+", " "), "\n", " "))
+    c = F.trim(F.translate(F.regexp_replace(c, r"\n+", " "), "\n", " "))
+    for a, b in EQUIVALENT:  # spellings of two words, wherever lines were broken
+        c = F.replace(c, F.lit(a), F.lit(b)) if " " in a else c
+    return c
 
 
 def known_digests(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license_id); of licences with one canonical text, the first by name."""
-    pairs = [F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in (known_texts() if licenses is None else licenses)]
+    pairs = [F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in ([*known_texts(), *more_texts()] if licenses is None else licenses)]
     rows = spark.range(1).select(F.inline(F.array(*pairs) if pairs else F.expr("cast(array() as array<struct<license_id: string, text: string>>)")))
-    return rows.select("license_id", F.md5(_whole(canonical(F.col("text")))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    digests = rows.select("license_id", F.md5(_whole(canonical(F.col("text")))).alias("digest"))
+    if licenses is None and DIGESTS:
+        published = [F.struct(F.lit(k).alias("license_id"), F.lit(d).alias("digest")) for k, v in DIGESTS.items() for d in v]
+        digests = digests.unionByName(spark.range(1).select(F.inline(F.array(*published))))
+    return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, licenses: list[tuple[str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -70,8 +70,12 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: The SQL takes every line that begins with a mark of copyright for a notice, and has no texts but ``known_texts``.
+_SQL_COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+
+
 def _canonical_sql(text: str) -> str:
-    c = f"regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)'))}, '', 'g')"
+    c = f"regexp_replace(lower({text}), {_quoted(_SQL_COPYRIGHT_LINE)}, '', 'g')"
     for a, b in licenses.EQUIVALENT:
         c = f"replace({c}, {_quoted(a)}, {_quoted(b)})"
     c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"

@@ -401,6 +401,40 @@ def test_licenses(spark):
     assert one.license_id == "MIT"
 
 
+ISC = """ISC License
+
+# Copyright (c) 2004-2010 by Some Consortium
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_whole_licences_in_published_wrapping(spark):
+    import textwrap
+    from pathlib import Path
+
+    bsd = {k: t for k, t in licenses.more_texts() if k.startswith("BSD")}
+    mit = "// Copyright 2020 Someone\n// Copyright Some Name\n * (c) 2021 Other\n" + licenses.TEXTS["MIT"]
+    cases = [("ISC", ISC), ("MIT", mit)] + [(k, textwrap.fill(t.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"), n)) for k, t in bsd.items() for n in range(40, 100, 3)]
+    cases += [("Unlicense", textwrap.fill(dict(licenses.more_texts())["Unlicense"], 70))]
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    at = Path("/usr/share/common-licenses")
+    cases += [(k, (at / f).read_text()) for k, f in files.items() if (at / f).exists()]
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(frame(spark, [(i, t, "en", "s") for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [k for k, _ in cases]
+    assert set(files) <= set(licenses.DIGESTS)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int")
