@@ -29,12 +29,16 @@ SECRET_WORDS = {"key", "token", "secret", "password", "passwd", "pwd", "api", "a
 HARMLESS_WORDS = {"sha", "sha1", "sha256", "md5", "checksum", "digest", "commit", "uuid", "guid", "id", "example", "sample", "dummy", "placeholder", "test", "isbn", "order", "phone", "invoice", "revision", "etag", "integrity"}
 TEST_PATHS = ("test", "example", "sample", "fixture", "mock", "doc")
 
-CANDIDATE = re.compile(
-    rf"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----)"
-    rf"|(?<![A-Za-z0-9])(?P<prefixed>{PREFIXED})"
-    rf"|(?<![A-Za-z])(?i:{NAMED})[\"'`]?[ \t]*(?:=>|:=|[:=])[ \t]*[\"'`]?(?P<named>[^\s\"'`,;]{{6,}})"
-    rf"|(?<![A-Za-z0-9+/_=-])(?P<loose>[A-Za-z0-9+/_=-]{{20,}})"
-)
+#: Characters of a loose candidate, at least.
+LOOSE = 20
+#: A pass for each kind, in this order: what one finds is left out of the later ones.
+CANDIDATES = {
+    "pem": re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?s:(?!-----BEGIN).)*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"),
+    "prefixed": re.compile(rf"(?<![A-Za-z0-9])(?:{PREFIXED})"),
+    # a name may end a longer one: DB_PASSWORD, dbPassword, dbpassword
+    "named": re.compile(rf"(?i:{NAMED})[\"'`]?[ \t]*(?:=>|:=|[:=])[ \t]*[\"'`]?(?P<value>[^\s\"'`,;]{{6,}})"),
+    "loose": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LOOSE),
+}
 THRESHOLD = 0.5
 AROUND = 48
 
@@ -67,7 +71,7 @@ def describe(value: str, before: str, after: str, path: str, kind: str) -> list[
     counts = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     covered = sum(len(m.group()) for m in _words().finditer(low))
-    near = re.findall(r"[a-z0-9]+", before.lower())[-6:]
+    near = re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", before).lower())[-6:]
     behind = re.findall(r"[a-z0-9]+", after.lower())[:3]
     where = path.lower()
     hexed = sum(c in "0123456789abcdef" for c in low)
@@ -104,13 +108,25 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
     hexa, upper, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     names = ["token", "api_key", "secret", "password", "access_key", "client_secret", "TOKEN", "API_KEY", "Secret"]
     filler = ["the of and in", "er onta la de", "value is", "", "config", "see here", "und der die"]
+    prefixes = ["", "DB_", "GITHUB_", "AWS_", "APP_", "MY_", "SERVICE_", "export "]
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ti", "es", "or", "ch", "eau", "tion", "ung", "lich"]
+
+    def assigned() -> str:
+        """What stands before an assigned value: a name in code, in a file of settings, or in camel case."""
+        name, form = pick(names), int(rng.integers(0, 3))
+        if form == 0:
+            return f'{pick(filler)} {name} = "'
+        if form == 1:
+            return f"{pick(filler)}\n{pick(prefixes)}{name.upper()}="
+        return f"{pick(filler)} {pick(['db', 'my', 'app', 'user'])}{''.join(w.capitalize() for w in name.lower().split('_'))}{pick([' = ', ': ', '='])}{pick(['', chr(34), chr(39)])}"
+
     paths = ["", "src3", "src/app.py", "deploy/settings.ini", "web/main.js"]
     tests = ["tests/test_app.py", "docs/example.md", "fixtures/sample.json"]
     out = []
     for _ in range(n // 2):
         kind = int(rng.integers(0, 8))
         path = pick(paths) if rng.random() < 0.9 else pick(tests)
-        before = f'{pick(filler)} {pick(names)} = "'
+        before = assigned()
         if kind <= 2:
             value = draw(hexa, pick([32, 40, 40, 48, 64]))
             value = value.upper() if rng.random() < 0.2 else value
@@ -118,7 +134,8 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
         elif kind == 3:
             out.append((draw(alnum + "+/", pick([24, 32, 40, 44])), before, '"', path, "named", 1))
         elif kind == 4:
-            out.append((draw(alnum + "!@#$%^&*", pick([10, 12, 16, 20])), before, '"', path, "named", 1))
+            chosen = "".join(pick(syllables) for _ in range(int(rng.integers(2, 4)))) + draw("0123456789", int(rng.integers(1, 4))) + draw("abcdefghijklmnopqrstuvwxyz", int(rng.integers(1, 5))) + draw("0123456789!$#", int(rng.integers(0, 3)))
+            out.append((pick([draw(alnum + "!@#$%^&*", pick([10, 12, 16, 20])), chosen]), before, '"', path, "named", 1))
         elif kind == 5:
             value = pick(["AKIA" + draw(upper, 16), "ghp_" + draw(alnum, 36), "sk-" + draw(alnum, 32), "xoxb-" + draw("0123456789", 11) + "-" + draw(alnum, 24), "AIza" + draw(alnum, 35)])
             out.append((value, pick([before, pick(filler) + " "]), " " + pick(filler), path, "prefixed", 1))
@@ -130,7 +147,7 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
     for _ in range(n - n // 2):
         kind = int(rng.integers(0, 9))
         path = pick(paths) if rng.random() < 0.6 else pick(tests)
-        before = f'{pick(filler)} {pick(names)} = "'
+        before = assigned()
         words = [pick(DICTIONARY) for _ in range(int(rng.integers(2, 5)))]
         if kind == 0:
             value = pick(["xxxxxxxxxxxxxxxx", "your_token_here", "YOUR_API_KEY", "changeme", "change_me_now", "<your-key>", "${API_KEY}", "{{ secret }}", "********", "password123", "0000000000000000", "aaaaaaaaaaaaaaaaaaaa", "12345678", "123456789012345678901234567890"])
@@ -151,7 +168,6 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
         elif kind == 7:
             out.append(("/".join(words * 2)[:80] + "abcdefghij", pick(filler) + " ", " ", path, "loose", 0))
         else:
-            syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ti", "es", "or", "ch", "eau", "tion", "ung", "lich"]
             out.append(("".join(pick(syllables) for _ in range(int(rng.integers(9, 16)))), pick(filler) + " ", " ", path, "loose", 0))
     return out
 
@@ -166,16 +182,41 @@ def train_forest(findings: list[tuple[str, str, str, str, str, int]]) -> Forest:
     return fit_forest(x, np.array([f[5] for f in findings]))
 
 
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of every candidate; no two overlap, and kinds go in the order of CANDIDATES. A named value that
+    goes on around a prefixed one is one candidate, prefixed."""
+    found: list[tuple[int, int, str]] = []
+    for kind, pattern in CANDIDATES.items():
+        if kind == "pem" and "PRIVATE KEY" not in text:
+            continue
+        taken, new, k = sorted(found), [], 0
+        for m in pattern.finditer(text):
+            a, b = m.span("value" if kind == "named" else 0)
+            while kind == "named" and b - a > 6 and text[b - 1] in ".!?#$%&*)]}|":  # marks that end a sentence aren't part of a value
+                b -= 1
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if kind != "loose":
+                inside = [x for x in taken[k:] if x[0] < b] if k < len(taken) and taken[k][0] < b else []
+                if not inside:
+                    new.append((a, b, kind))
+                elif kind == "named" and all(x[2] == "prefixed" and a <= x[0] and x[1] <= b for x in inside):
+                    found = [x for x in found if x not in inside]
+                    new.append((a, b, "prefixed"))
+                continue
+            i = k  # a run is what others leave of it
+            while i < len(taken) and taken[i][0] < b:
+                new += [(a, taken[i][0], kind)] if taken[i][0] - a >= LOOSE else []
+                a, i = max(a, taken[i][1]), i + 1
+            new += [(a, b, kind)] if b - a >= LOOSE else []
+        found += new
+    return found
+
+
 def scan(text: str, path: str, forest: Forest) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of every candidate of a whole text."""
-    found, rows = [], []
-    for m in CANDIDATE.finditer(text):
-        kind = m.lastgroup
-        a, b = m.span(kind)
-        while kind == "named" and b - a > 6 and text[b - 1] in ".!?#$%&*)]}|":  # marks that end a sentence aren't part of a value
-            b -= 1
-        found.append((a, b, kind))
-        rows.append(describe(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path, kind))
+    found = sorted(candidates(text))
+    rows = [describe(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path, kind) for a, b, kind in found]
     if not found:
         return []
     return [(a, b, k, float(s)) for (a, b, k), s in zip(found, forest.score(np.array(rows)))]
