@@ -95,9 +95,10 @@ def estimate(equal: np.ndarray) -> np.ndarray:
     return (equal / REGISTERS - chance) / (1 - chance)
 
 
-def least_equal() -> int:
+def least_estimate() -> float:
+    """The threshold less the slack, and less one register, so that rounding loses no pair."""
     j = NUMERATOR / DENOMINATOR
-    return int(np.floor(REGISTERS * (j - SLACK * np.sqrt(j * (1 - j) / REGISTERS))))
+    return j - SLACK * float(np.sqrt(j * (1 - j) / REGISTERS)) - 1 / REGISTERS
 
 
 def digest_of(hashes: np.ndarray) -> str | None:
@@ -174,7 +175,7 @@ def _bucket_forest(group: pa.Table) -> pa.Table:
     ids = group["node"].to_numpy()
     registers = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
     sizes = group["n_shingles"].to_numpy()
-    least = least_equal()
+    least = least_estimate()
     small = group["small"].combine_chunks()
     exact = _meets(small.flatten().to_numpy(), np.concatenate(([0], np.cumsum(small.value_lengths().fill_null(0).to_numpy()))))
 
@@ -184,7 +185,7 @@ def _bucket_forest(group: pa.Table) -> pa.Table:
         some, few = rest[hit], lo[hit] <= SMALL
         ok = np.zeros(len(some), bool)
         ok[few] = exact(i, some[few])
-        ok[~few] = (registers[some[~few]] == registers[i]).sum(axis=1) >= least
+        ok[~few] = estimate((registers[some[~few]] == registers[i]).sum(axis=1)) >= least
         hit[hit] = ok
         return hit
 

@@ -130,6 +130,17 @@ def test_estimate_is_corrected_and_close():
         assert abs(np.mean(errors)) < 0.03
 
 
+def test_candidates_pass_by_the_corrected_estimate(monkeypatch):
+    """The main path asks estimate(), and lets no fewer pairs through than the bound of 71 raw registers did."""
+    assert [e for e in range(129) if minhash.estimate(np.array([e]))[0] >= minhash.least_estimate()] == list(range(71, 129))
+    row = np.arange(128, dtype=np.uint16)
+    other = np.where(np.arange(128) < 71, row, row + 500).astype(np.uint16)
+    cell = pa.table({"node": [1, 2], "n_shingles": [200, 210], "sketch": [row.tobytes(), other.tobytes()], "small": pa.array([None, None], pa.list_(pa.int64()))})
+    assert minhash._bucket_forest(cell).num_rows == 1
+    monkeypatch.setattr(minhash, "estimate", lambda equal: np.zeros(len(equal)))
+    assert minhash._bucket_forest(cell).num_rows == 0
+
+
 def repeated(rows, n=50):
     own, many = {}, set()
     texts = [(i, split(lower(t))) for i, t, _, _ in rows if i is not None]
