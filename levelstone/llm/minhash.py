@@ -1,15 +1,18 @@
 """Near-duplicate classes by HyperMinHash banding with exact confirmation.
 
-Every distinct shingle set is kept once (a digest of the whole sorted set stands for all its copies). A set's shingles
-are hashed once and dealt to ``REGISTERS`` buckets; a bucket stores its least hash compressed to a count of leading
-zeros (6 bits) and ``MANTISSA`` bits that follow. Empty buckets borrow from filled ones in an order that depends on the
-bucket alone, so a register of two sets agrees with probability J. Bands of ``ROWS`` registers propose pairs, the
-collision-corrected estimate of J thins them, and full sets confirm them.
+Every distinct shingle set is kept once (a digest of the whole sorted set stands for all its copies). A shingle is known
+by 128 bits that rest on its words' identities (see ``wordhash``), in digests as in comparisons of full sets. A set's
+shingles are hashed ``DEALS`` times over and dealt to ``REGISTERS`` buckets; a bucket stores its least hash compressed to
+a count of leading zeros (6 bits) and ``MANTISSA`` bits that follow. Empty buckets borrow from filled ones in an order
+that depends on the bucket alone, so a register of two sets agrees with probability J. Bands of ``ROWS`` registers
+propose pairs, the estimate of J, less the agreements that compression alone is expected to make in sets of their sizes,
+thins them, and full sets confirm them.
 
 Registers of a small set hang together, as they borrow from a few buckets, so no bound on an estimate holds for them.
 Pairs with a set of at most ``SMALL`` shingles are found exactly: a set's shingles in order of how many sets have them,
 rarest first, must share one of the first n - ceil(0.75 n) + 1 with any set that is near enough, and such pairs are
-compared by their shingles at once.
+compared by their shingles at once. Larger sets fill 98 % of the buckets at least, as every shingle is dealt ``DEALS``
+times: a pair at the very threshold then shares a band with probability 1 - 1e-10.
 
 No pair list of a group is ever made. In a bucket, members are compared in cells of one or two blocks of about ``BLOCK``
 members, and a cell gives out a spanning forest of what it finds; the same holds when full sets are compared inside
@@ -31,12 +34,12 @@ from .components import components
 from .wordhash import mix, shingles
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-REGISTERS, ROWS, MANTISSA = 128, 4, 10
+REGISTERS, ROWS, MANTISSA, DEALS = 128, 3, 10, 8
 #: Sets of so many shingles are compared exactly; REACH is the size of the largest set that can be near one of them.
 SMALL = 64
 REACH = SMALL * DENOMINATOR // NUMERATOR
 #: Standard deviations of the estimate that a candidate may lie under the threshold.
-SLACK = 5.0
+SLACK = 6.5
 BLOCK = 2048
 #: The same for full sets, whose size counts as well.
 TEXT_BLOCK, SHINGLE_BLOCK = 512, 1_000_000
@@ -49,14 +52,17 @@ def _borrow_order() -> np.ndarray:
     return (mix(tries + np.uint64(0xABCD)) % np.uint64(REGISTERS)).astype(np.int64)
 
 
+_DEALT = mix(np.arange(1, DEALS + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
+
+
 def sketch(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
     """HyperMinHash registers (uint16, one row a set) of the sets ``hashes[off[i]:off[i+1]]``; a row of an empty set means nothing."""
     n = len(off) - 1
-    h = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
-    bucket = (h >> np.uint64(57)).astype(np.int64)
-    rest = (h << np.uint64(7)) | np.uint64(0x7F)
+    row = np.repeat(np.arange(n), np.diff(off)) * REGISTERS
     least = np.full(n * REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, np.repeat(np.arange(n), np.diff(off)) * REGISTERS + bucket, rest)
+    for deal in _DEALT:
+        h = mix(hashes ^ deal)
+        np.minimum.at(least, row + (h >> np.uint64(57)).astype(np.int64), (h << np.uint64(7)) | np.uint64(0x7F))
     least = least.reshape(n, REGISTERS)
     full = least != np.iinfo(np.uint64).max
     zeros = np.zeros(least.shape, np.uint64)
@@ -81,18 +87,38 @@ def sketch(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each row."""
-    n = len(registers)
-    four = registers.reshape(n, -1, ROWS).astype(np.uint64)
-    key = np.zeros(four.shape[:2], np.uint64)
+    n, bands = len(registers), REGISTERS // ROWS
+    rows = registers[:, : bands * ROWS].reshape(n, bands, ROWS).astype(np.uint64)
+    key = np.zeros((n, bands), np.uint64)
     for j in range(ROWS):
-        key = key << np.uint64(16) | four[:, :, j]
-    return mix(key + np.arange(four.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = key << np.uint64(16) | rows[:, :, j]
+    return mix(key + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _spread(total: np.ndarray) -> np.ndarray:
+    """Mean width of the cell at the least of ``total`` hashes of a bucket: widths are 2**-(i + 1) where a hash has i leading zeros."""
+    edge = 2.0 ** -np.arange(1, 58)
+    return (np.exp(-total[:, None] * edge) - np.exp(-total[:, None] * 2 * edge)) @ edge
 
 
-def estimate(equal: np.ndarray) -> np.ndarray:
-    """Jaccard estimate from the number of agreeing registers, less the agreements that compression alone makes."""
-    chance = 2.0 ** -MANTISSA / 2
-    return (equal / REGISTERS - chance) / (1 - chance)
+_TOTALS = 2.0 ** np.arange(-8, 56, 1 / 16)
+_SPREADS = _spread(_TOTALS) * _TOTALS
+
+
+def chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Probability that compression alone makes a register of disjoint sets of ``a`` and ``b`` shingles agree.
+
+    With x and y hashes in a bucket, both least ones lie at u with density x y exp(-(x + y) u), and in one cell if they
+    are as near as its width; the integral over u is read off a table of x + y, in which it hardly changes.
+    """
+    x, y = a * (DEALS / REGISTERS), b * (DEALS / REGISTERS)
+    return np.minimum(0.5, x * y / (x + y) ** 2 * np.interp(np.log2(x + y), np.log2(_TOTALS), _SPREADS) * 2.0**-MANTISSA)
+
+
+def estimate(equal: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard estimate from the number of agreeing registers of sets of ``a`` and ``b`` shingles, less expected collisions."""
+    expected = chance(a, b)
+    return (equal / REGISTERS - expected) / (1 - expected)
 
 
 def least_estimate() -> float:
@@ -101,9 +127,9 @@ def least_estimate() -> float:
     return j - SLACK * float(np.sqrt(j * (1 - j) / REGISTERS)) - 1 / REGISTERS
 
 
-def digest_of(hashes: np.ndarray) -> str | None:
-    """Digest of a sorted shingle set; none for the empty set."""
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest() if len(hashes) else None
+def digest_of(hashes: np.ndarray, others: np.ndarray) -> str | None:
+    """Digest of a sorted shingle set, both halves of each; none for the empty set."""
+    return hashlib.blake2b(hashes.tobytes() + others.tobytes(), digest_size=16).hexdigest() if len(hashes) else None
 
 
 _FEATURES = "doc_id long, n_shingles long, digest string, sketch binary, keys array<long>, small array<long>"
@@ -115,11 +141,11 @@ def _features(batches):
         raw, off = utf8_parts(batch.column(1))
         for i, j in blocks(off):
             part, cut = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-            h, at = shingles(part, cut, WORDS)
+            h, other, at = shingles(part, cut, WORDS)
             registers = sketch(h, at)
             keys = band_keys(registers).astype(np.int64)
             sizes = np.diff(at)
-            digests = [digest_of(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+            digests = [digest_of(h[a:b], other[a:b]) for a, b in zip(at[:-1], at[1:])]
             small = [h[a:b].astype(np.int64) if b - a <= REACH else None for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(i, j - i).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * keys.shape[1], keys.shape[1]), pa.int32()), pa.array(keys.ravel(), pa.int64())), pa.array(small, pa.list_(pa.int64()))],
@@ -146,9 +172,19 @@ def _edges(found: list[tuple[int, int]]):
     return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
 
-def _meets(h: np.ndarray, at: np.ndarray):
+def _codes(h: np.ndarray, other: np.ndarray | None) -> np.ndarray:
+    """Numbers of the different shingles, told apart by both halves."""
+    _, first, code = np.unique(h, return_index=True, return_inverse=True)
+    if other is not None and (other[first][code] != other).any():
+        order = np.lexsort((other, h))
+        new = np.concatenate(([False], (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])))
+        code[order] = np.cumsum(new)
+    return code
+
+
+def _meets(h: np.ndarray, at: np.ndarray, other: np.ndarray | None = None):
     """``near(i, some)`` that says exactly which of the sets ``h[at[k]:at[k+1]]``, k in ``some``, reach the threshold with set i."""
-    _, code = np.unique(h, return_inverse=True)
+    code = _codes(h, other)
     sizes = np.diff(at)
     mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
 
@@ -185,7 +221,7 @@ def _bucket_forest(group: pa.Table) -> pa.Table:
         some, few = rest[hit], lo[hit] <= SMALL
         ok = np.zeros(len(some), bool)
         ok[few] = exact(i, some[few])
-        ok[~few] = estimate((registers[some[~few]] == registers[i]).sum(axis=1)) >= least
+        ok[~few] = estimate((registers[some[~few]] == registers[i]).sum(axis=1), sizes[some[~few]], sizes[i]) >= least
         hit[hit] = ok
         return hit
 
@@ -208,14 +244,18 @@ def _verified_forest(group: pa.Table) -> pa.Table:
     group = group.sort_by("node")
     raw, off = utf8_parts(group["text"])
     parts = [shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], WORDS) for i, j in blocks(off)]
-    h, at = np.concatenate([x for x, _ in parts]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts]))))
+    h, other = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+    at = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[2]) for x in parts]))))
+    del parts
     # a doc_id on rows with several texts brings them all; only the row with the node's own set counts, once
-    own = [digest_of(h[a:b]) == d for a, b, d in zip(at[:-1], at[1:], group["digest"].to_pylist())]
+    own = [digest_of(h[a:b], other[a:b]) == d for a, b, d in zip(at[:-1], at[1:], group["digest"].to_pylist())]
     ids = group["node"].to_numpy()
     own = np.array(own) & np.concatenate(([True], ids[1:] != ids[:-1])) if all(own) else _first_true(ids, np.array(own))
-    h, sizes = h[np.repeat(own, np.diff(at))], np.diff(at)[own]
-    ids, at = ids[own], np.concatenate(([0], np.cumsum(sizes)))
-    exact = _meets(h, at)
+    if not own.all():
+        held = np.repeat(own, np.diff(at))
+        h, other, ids, at = h[held], other[held], ids[own], np.concatenate(([0], np.cumsum(np.diff(at)[own])))
+    sizes = np.diff(at)
+    exact = _meets(h, at, other)
 
     def near(i, rest):
         lo, hi = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])

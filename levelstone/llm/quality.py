@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, released, ship, text_of, utf8_parts
-from .wordhash import _powers, mix
+from .wordhash import powers, mix
 
 SLOTS = 1 << 18
 #: Labelled rows that the weights are fitted to, at most: the first by a digest of their ids. The bound of the model's
@@ -48,7 +48,7 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     start, end = start[solid], end[solid]
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(n + 1, np.int64)
-    power, inverse = _powers(size + 1)
+    power, inverse = powers(size + 1)
     total = np.zeros(size + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:size], out=total[1:])
     length = end - start

@@ -1,41 +1,59 @@
 """Passages that repeat across documents, found with a sparse suffix array.
 
-A suffix is kept where the hash of the next ``GRAM`` words is the least of some ``span`` consecutive positions, a choice
-that content alone makes. With ``span = min_words - prefix + 1``, every passage of ``min_words`` words holds a kept
-suffix in its first ``span`` positions with at least ``prefix`` words of the passage after it. The array is sorted
-across the cluster by prefix digest, document and position, so that a prefix shared by very many documents spreads over
-many tasks, and neighbours are compared in the sorted stream. Suffixes that share their prefix with another document
-are extended to the left and to the right: every window of ``min_words`` words that holds the prefix is sorted and
-compared with its neighbours in the same way. A document's repeated windows are merged into spans.
+Every window of ``min_words`` words keeps one suffix: the first of its ``min_words - prefix + 1`` beginnings at which the
+hash of the next ``GRAM`` words is least, a choice that the window's content alone makes. Neighbouring windows keep the
+same suffix, so about one position in thirteen stays, and equal windows keep it at the same place. A kept suffix knows
+how far its windows reach: ``lo`` to ``hi`` words to its left, and ``min_words`` words from there.
+
+The suffixes are sorted across the cluster by their first ``prefix`` words, then by all words that their windows reach,
+and neighbours are compared in the sorted stream. A suffix whose prefix no other document holds drops out. Suffixes of two
+documents that agree in all their words are repeated as they are. For what is left, the words themselves are fetched,
+sorted as text, and neighbours are extended: to the right by the words that they share in this order, to the left by the
+words that they share in the order of their reversed left sides. A window is repeated if its words to the right and to
+the left are those of a suffix of another document. Repeated windows are merged into spans.
+
+Tables are cut into pieces of bounded size. A prefix that goes on beyond its piece, however many documents hold it, hands
+on what is undecided in it as rows with digests, which are combined map-side and meet by digest.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, partitions, released, ship, text_of, utf8_parts
-from .wordhash import gram, words
+from .wordhash import gram, lowered, ranges, words
 
 MIN_WORDS, PREFIX, GRAM = 50, 25, 8
+#: Rows that a task holds at once: suffixes without words, and with words.
+PIECE, WORD_PIECE = 50_000, 10_000
 
-_ROW = "key long, doc long, pos int"
+_SUFFIX = "key long, ctx long, doc long, pos int, lo short, hi short"
+_FOUND = _SUFFIX + ", many boolean, state string"
 
 
-def _minimisers(h: np.ndarray, doc: np.ndarray, span: int, prefix: int) -> np.ndarray:
-    """Positions that are the least of some ``span`` positions of one text and have ``prefix`` words from there on."""
-    reach = span + GRAM - 1
-    if len(h) < reach:
-        return np.zeros(0, np.int64)
-    g = gram(h, GRAM)
-    view = sliding_window_view(g, span)
-    inside = doc[: len(view)] == doc[reach - 1 : reach - 1 + len(view)]
-    at = np.unique((np.arange(len(view)) + view.argmin(axis=1))[inside])
-    at = at[at + prefix <= len(h)]
-    return at[doc[at] == doc[at + prefix - 1]]
+def _batch(columns: dict[str, tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
+
+
+def _kept(h: np.ndarray, doc: np.ndarray, min_words: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first window, last window) of each kept suffix; windows are numbered by their first word."""
+    n = len(h) - min_words + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 3
+    span = min_words - prefix + 1
+    at = np.arange(n) + sliding_window_view(gram(h, GRAM), span)[:n].argmin(axis=1)
+    windows = np.flatnonzero(doc[:n] == doc[min_words - 1 :])
+    at = at[windows]
+    # the choice moves to the right with the window, so a suffix's windows are a run
+    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(at))[: len(new)] - 1
+    return at[new], windows[new], windows[last]
 
 
 def _suffixes(min_words: int, prefix: int):
@@ -44,121 +62,246 @@ def _suffixes(min_words: int, prefix: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             raw, off = utf8_parts(batch.column(1))
             for i, j in blocks(off):
-                h, doc, _, _ = words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                at = _minimisers(h, doc, min_words - prefix + 1, prefix)
-                if len(at):
-                    key = gram(h, prefix)[at].astype(np.int64)
-                    first = np.searchsorted(doc, doc[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[i + doc[at]], pa.int64()), pa.array(at - first, pa.int32())], ["key", "doc", "pos"])
+                h, _, doc, _, _ = words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                pos, first, last = _kept(h, doc, min_words, prefix)
+                if len(pos):
+                    key = ranges(h, pos, pos + prefix).view(np.int64)
+                    ctx = ranges(h, first, last + min_words).view(np.int64)
+                    here = pos - np.searchsorted(doc, doc[pos])
+                    yield _batch({"key": (key, pa.int64()), "ctx": (ctx, pa.int64()), "doc": (ids[i + doc[pos]], pa.int64()), "pos": (here.astype(np.int32), pa.int32()), "lo": ((pos - last).astype(np.int16), pa.int16()), "hi": ((pos - first).astype(np.int16), pa.int16())})
 
     return run
 
 
-def _neighbours(batches):
-    """Compare neighbours in one sorted part: rows of keys that two documents or more hold.
+def _pieces(batches, limit: int, breaks):
+    """(table, open to the left, open to the right) of a sorted stream, cut where a run ends (``breaks(table)``: rows that
+    begin one). A run that is longer than a piece is cut inside; then both sides are open there."""
+    held, size, left = [], 0, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < limit:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        begin = breaks(table)
+        cut = int(begin[-1]) if len(begin) > 1 else len(table)
+        yield table.slice(0, cut), left, cut == len(table)
+        left = cut == len(table)
+        rest = table.slice(cut).combine_chunks()
+        held, size = rest.to_batches() if len(rest) else [], len(rest)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), left, True
 
-    A part's first and last key may go on in another part. Each of these two runs brings two lines more (pos -1) with
-    its least and its greatest document; its rows, if they are all of one document here, wait (edge) until those lines
-    of all parts are together.
-    """
 
-    def rows(key, doc, pos, edge):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.full(len(key), edge))], ["key", "doc", "pos", "edge"])
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
-    first, run = True, None  # run: key, least and greatest document, rows held back, whether they are known to be shared
 
-    def ended(last: bool):
-        """What is left to say of the open run."""
-        key, lo, hi, doc, pos = run
-        if first or last:
-            yield rows(np.full(2, key), np.array([lo, hi], np.int64), np.full(2, -1), True)
-        if lo != hi or first or last:
-            yield rows(np.full(len(doc), key), doc, pos, lo == hi)
+def _neighbours(limit: int):
+    """Compare neighbours in one sorted part. States of the rows given out: ``equal``, all windows of this suffix are
+    repeated; ``extend``, its windows are open (``many``: it stands for equal suffixes of several documents, which are
+    given out as well); ``edge``, the same in a prefix that may go on in another piece."""
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        end = np.concatenate((start[1:], [len(key)]))
-        if run and run[0] == key[0]:
-            d, p = np.concatenate((run[3], doc[: end[0]])), np.concatenate((run[4], pos[: end[0]]))
-            run = (run[0], run[1], doc[end[0] - 1], d, p)
-            if len(d) > 200_000:  # a very long run leaves in pieces
-                yield rows(np.full(2, run[0]), np.array([run[1], run[2]], np.int64), np.full(2, -1), True)
-                yield rows(np.full(len(d), run[0]), d, p, run[1] == run[2])
-                run = (*run[:3], d[:0], p[:0])
-                first = True  # so its last rows bring their lines as well
-            start, end = start[1:], end[1:]
-            if not len(start):
-                continue
-        if run:
-            yield from ended(False)
-            first = False
-        elif len(start) > 1:
-            run = (key[0], doc[0], doc[end[0] - 1], doc[: end[0]], pos[: end[0]])
-            yield from ended(False)
-            first = False
-            start, end = start[1:], end[1:]
-        if len(start) > 1:
-            many = np.repeat(doc[start[:-1]] != doc[end[:-1] - 1], end[:-1] - start[:-1])
-            inner = slice(start[0], end[-2])
-            if many.any():
-                yield rows(key[inner][many], doc[inner][many], pos[inner][many], False)
-        a, b = start[-1], end[-1]
-        run = (key[a], doc[a], doc[b - 1], doc[a:b], pos[a:b])
-    if run:
-        yield from ended(True)
-
-
-def _shared(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows (key, doc, pos) whose key is held by more than one document."""
-    n = partitions(rows.sparkSession)
-    array = rows.repartitionByRange(n, "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
-    found = scratch.save(array.mapInArrow(released(_neighbours), _ROW + ", edge boolean"), name)
-    # two lines at most for each task, times the tasks: the ends of the sorted parts
-    ends = found.where("edge and pos = -1").groupBy("key").agg((F.min("doc") != F.max("doc")).alias("many")).where("many").select("key")
-    sure = found.where("not edge").select("key", "doc", "pos")
-    return sure.unionByName(found.where("edge and pos >= 0").join(ends, "key", "left_semi").select("key", "doc", "pos"))
-
-
-def _windows(min_words: int, prefix: int):
-    """Digests of the windows that hold a shared prefix."""
+    def run(batches):
+        for table, left, right in _pieces(batches, limit, lambda t: np.flatnonzero(_begins(t["key"].to_numpy()))):
+            key, ctx, doc = (table[c].to_numpy() for c in ("key", "ctx", "doc"))
+            prefix, whole = np.cumsum(_begins(key)) - 1, np.cumsum(_begins(key, ctx)) - 1
+            first = np.flatnonzero(_begins(whole))
+            last = np.append(first[1:], len(whole)) - 1
+            many = doc[first] != doc[last]  # of each group of equal suffixes
+            outer = np.array([left] + [False] * prefix[-1])
+            outer[-1] |= right
+            groups = np.bincount(prefix[first])
+            least, most = (np.full(len(groups), x, np.int64) for x in (np.iinfo(np.int64).max, np.iinfo(np.int64).min))
+            np.minimum.at(least, prefix[first], doc[first])
+            np.maximum.at(most, prefix[first], doc[last])
+            single = np.bincount(prefix[first], ~many) > 0
+            wanted = outer | ((groups > 1) & single & (least != most))
+            alone = ~many[whole]
+            is_first = _begins(whole)
+            asked = wanted[prefix] & (alone | is_first)
+            for rows, state in ((np.flatnonzero(many[whole]), "equal"), (np.flatnonzero(asked & ~outer[prefix]), "extend"), (np.flatnonzero(asked & outer[prefix]), "edge")):
+                if len(rows):
+                    out = table.take(pa.array(rows))
+                    out = out.append_column("many", pa.array(~alone[rows] if state != "equal" else np.zeros(len(rows), bool))).append_column("state", pa.array([state]).take(pa.array(np.zeros(len(rows), np.int32))))
+                    yield from out.to_batches()
+
+    return run
+
+
+def _settled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(equal suffixes, suffixes to extend) of what neighbours gave out, prefixes of several pieces included."""
+    edge = found.where("state = 'edge'").drop("state")
+    whole = edge.groupBy("key", "ctx").agg((F.bool_or("many") | (F.min("doc") != F.max("doc"))).alias("together"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "pos", "lo", "hi")).alias("one"))
+    prefixes = whole.groupBy("key").agg(F.count("*").alias("groups"), F.bool_or(~F.col("together")).alias("single"), (F.bool_or("together") | (F.min("least") != F.max("most"))).alias("several"))
+    prefixes = prefixes.where("groups > 1 and single and several").select("key")
+    met = edge.join(whole.select("key", "ctx", "together"), ["key", "ctx"])
+    equal = found.where("state = 'equal'").select("doc", "pos", "lo", "hi").unionByName(met.where("together and not many").select("doc", "pos", "lo", "hi"))
+    columns = ["key", "ctx", "doc", "pos", "lo", "hi", "many"]
+    together = whole.where("together").select("key", "ctx", "one.*", F.lit(True).alias("many"))
+    open_ = met.where("not together").select(columns).unionByName(together.select(columns)).join(prefixes, "key", "left_semi")
+    return equal, found.where("state = 'extend'").select(columns).unionByName(open_.select(columns))
+
+
+_WORDS = "right binary, left binary, doc long, pos int, lo short, hi short, many boolean"
+
+
+def _fetch(min_words: int):
+    """Words to the right and, reversed, to the left of suffixes. Rows of a document: its suffixes, then its texts."""
+
+    def spelled(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The words in the given order, each with one space behind, and where each begins."""
+        length = end - start + 1
+        at = np.concatenate(([0], np.cumsum(length)))
+        source = np.repeat(start - at[:-1], length) + np.arange(at[-1])
+        out = low[source]
+        out[at[1:] - 1] = 32
+        return out.tobytes(), at
+
+    def emit(texts, asked):
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        h, _, doc, start, end = words(raw, off)
+        if not len(h):
+            return
+        low = lowered(raw)
+        ahead, at = spelled(low, start, end)
+        back, back_at = spelled(low, start[::-1], end[::-1])
+        base = np.searchsorted(doc, np.arange(len(texts) + 1))
+        sizes = [len(a) for a in asked]
+        own = np.repeat(np.arange(len(texts)), sizes)
+        ids, pos, lo, hi, many, ctx = (np.concatenate([a[k] for a in map(lambda rows: np.array(rows, np.int64).reshape(-1, 6).T, asked)]) for k in range(6))
+        p = base[own] + pos
+        first, last = p - hi, p - lo + min_words
+        fit = (first >= base[own]) & (last <= base[own + 1])
+        p, first, last, ids, pos, lo, hi, many, ctx = (x[fit] for x in (p, first, last, ids, pos, lo, hi, many, ctx))
+        same = ranges(h, first, last).view(np.int64) == ctx  # rows of one doc_id may have several texts
+        p, first, last, ids, pos, lo, hi, many = (x[same] for x in (p, first, last, ids, pos, lo, hi, many))
+        n = len(h)
+        right = [ahead[a:b] for a, b in zip(at[p].tolist(), at[last].tolist())]
+        left = [back[a:b] for a, b in zip(back_at[n - p].tolist(), back_at[n - first].tolist())]
+        yield _batch({"right": (right, pa.binary()), "left": (left, pa.binary()), "doc": (ids, pa.int64()), "pos": (pos.astype(np.int32), pa.int32()), "lo": (lo.astype(np.int16), pa.int16()), "hi": (hi.astype(np.int16), pa.int16()), "many": (many.astype(bool), pa.bool_())})
 
     def run(batches):
+        doc, rows, texts, asked, size = None, [], [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            raw, off = utf8_parts(batch.column(1))
-            lists = batch.column(2).to_pylist()
-            for i, j in blocks(off):
-                h, doc, _, _ = words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                g = gram(h, min_words)
-                if not len(g):
-                    continue
-                first = np.searchsorted(doc, np.arange(j - i + 1))
-                hold = np.zeros(len(h) + 1, np.int64)
-                for k in range(i, j):
-                    p = first[k - i] + np.array(lists[k], np.int64)
-                    np.add.at(hold, np.maximum(p - (min_words - prefix), first[k - i]), 1)
-                    np.add.at(hold, p + 1, -1)
-                at = np.flatnonzero(np.cumsum(hold)[: len(g)] > 0)
-                at = at[doc[at] == doc[at + min_words - 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].astype(np.int64)), pa.array(ids[i + doc[at]], pa.int64()), pa.array(at - first[doc[at]], pa.int32())], ["key", "doc", "pos"])
+            columns = {c: batch.column(i).to_pylist() if c != "text" else batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for i, d in enumerate(columns["doc"]):
+                if d != doc:
+                    doc, rows = d, []
+                if columns["pos"][i] is not None:
+                    rows.append((d, columns["pos"][i], columns["lo"][i], columns["hi"][i], columns["many"][i], columns["ctx"][i]))
+                elif rows:
+                    texts.append(columns["text"][i].as_buffer().to_pybytes())
+                    asked.append(rows)
+                    size += len(texts[-1]) + 400 * len(rows)
+                    if size > 1 << 20:
+                        yield from emit(texts, asked)
+                        texts, asked, size = [], [], 0
+        if texts:
+            yield from emit(texts, asked)
 
     return run
 
 
-def _spans(min_words: int):
+def _shared_words(a: bytes, b: bytes) -> int:
+    """Words that both begin with, each with its space."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        lo = hi
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return a.count(b" ", 0, lo)
+
+
+def _window(right: bytes, left: bytes, i: int, min_words: int) -> list[int]:
+    """Digest of the window with ``i`` words to the left, as two longs."""
+    text = b" ".join(left.split(b" ", i)[:i]) + b"\n" + b" ".join(right.split(b" ", min_words - i)[: min_words - i])
+    d = hashlib.blake2b(text, digest_size=16).digest()
+    return [int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)]
+
+
+_EXTENDED = "doc long, first int, last int, d1 long, d2 long, least long, most long, together boolean"
+
+
+def _extend(min_words: int, prefix: int, limit: int):
+    """Windows that suffixes of one piece repeat: (doc, first, last) without digest. Of prefixes that may go on in another
+    piece also, with its digest, one row for each different window (least, most, together: documents that hold it here)
+    and one for each that only one document holds here (doc, first)."""
+    span = min_words - prefix + 1
+
+    def shared(column: list[bytes]) -> np.ndarray:
+        return np.array([-1, *(_shared_words(a, b) for a, b in zip(column, column[1:]))])
+
+    def breaks(table: pa.Table) -> np.ndarray:
+        return np.flatnonzero(shared(table["right"].to_pylist()) < prefix)
+
+    def piece(table: pa.Table, open_left: bool, open_right: bool):
+        right, left = table["right"].to_pylist(), table["left"].to_pylist()
+        doc, pos, lo, hi, many = (table[c].to_numpy() for c in ("doc", "pos", "lo", "hi", "many"))
+        n = len(doc)
+        ahead = shared(right)
+        run = np.cumsum(ahead < prefix) - 1
+        outer = np.array([open_left] + [False] * run[-1])
+        outer[-1] |= open_right
+        runs = run.tolist()
+        order = np.array(sorted(range(n), key=lambda k: (runs[k], left[k])))
+        back = shared([left[k] for k in order])
+        back[_begins(run[order])] = -1
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        hit = np.zeros((n, span + 1), bool)
+        for i in range(span):
+            rows = np.flatnonzero((lo <= i) & (i <= hi))
+            if not len(rows):
+                continue
+            same = (np.cumsum(ahead < min_words - i) * (n + 1) + np.cumsum(back < i)[place])[rows]
+            by = np.lexsort((doc[rows], same))
+            rows, same = rows[by], same[by]
+            first = np.flatnonzero(_begins(same))
+            group = np.cumsum(_begins(same)) - 1
+            together = np.bincount(group, many[rows]) > 0
+            least, most = doc[rows[first]], doc[rows[np.append(first[1:], len(rows)) - 1]]
+            together |= least != most
+            hit[rows, i] = together[group] & ~many[rows]
+            if (at := np.flatnonzero(outer[run[rows]])).size:
+                heads = first[outer[run[rows[first]]]]
+                digests = {int(group[k]): _window(right[rows[k]], left[rows[k]], i, min_words) for k in heads}
+                g = [int(group[k]) for k in heads]
+                yield summary(digests, g, least, most, together)
+                alone = at[~together[group[at]]]
+                yield single(digests, group[alone].tolist(), doc[rows[alone]], pos[rows[alone]] - i)
+        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 0))), axis=1)
+        row, from_ = np.nonzero(edge == 1)
+        _, to = np.nonzero(edge == -1)
+        yield _batch(blank(len(row)) | {"doc": (doc[row], pa.int64()), "first": ((pos[row] - to + 1).astype(np.int32), pa.int32()), "last": ((pos[row] - from_).astype(np.int32), pa.int32())})
+
+    def blank(k: int) -> dict:
+        kinds = (("doc", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("together", pa.bool_()))
+        return {c: ([None] * k, t) for c, t in kinds}
+
+    def summary(digests, g, least, most, together):
+        d1, d2 = ([digests[x][k] for x in g] for k in (0, 1))
+        return _batch(blank(len(g)) | {"d1": (d1, pa.int64()), "d2": (d2, pa.int64()), "least": (least[g], pa.int64()), "most": (most[g], pa.int64()), "together": (together[g], pa.bool_())})
+
+    def single(digests, g, doc, first):
+        d1, d2 = ([digests[x][k] for x in g] for k in (0, 1))
+        first = first.astype(np.int32)
+        return _batch(blank(len(g)) | {"doc": (doc, pa.int64()), "first": (first, pa.int32()), "last": (first, pa.int32()), "d1": (d1, pa.int64()), "d2": (d2, pa.int64())})
+
     def run(batches):
-        for batch in batches:
-            ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for doc, at in zip(ids, lists):
-                p = np.sort(np.array(at, np.int64))
-                cut = np.flatnonzero(np.concatenate(([True], p[1:] > p[:-1] + min_words)))
-                for a, b in zip(p[cut], np.concatenate((p[cut[1:] - 1], p[-1:])) + min_words):
-                    out.append((doc, int(a), int(b), int(b - a)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "start_word", "end_word", "n_words"])
+        for table, left, right in _pieces(batches, limit, breaks):
+            yield from piece(table, left, right)
 
     return run
 
@@ -169,16 +312,36 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Rows: doc_id, start_word, end_word (exclusive), n_words. Words are as in ``wordhash`` and count from 0. Repeats
     inside one document alone are no rows; copies of whole documents are. Null, empty and short texts have none, rows
     with a null doc_id take no part, an empty table gives no rows. Rows with one doc_id count as one document, whose
-    positions are those of each row. Other columns are not read.
+    positions are those of each row; its suffixes meet in one task. Texts of any length are read whole, one at a time.
+    Other columns are not read. ``prefix`` must be ``GRAM`` words at least.
     """
+    if not GRAM <= prefix <= min_words:
+        raise ValueError("prefix must lie between GRAM and min_words")
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "passages")
+    n = partitions(spark)
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), text_of(docs, text).alias("text"))
-    array = scratch.save(source.mapInArrow(released(_suffixes(min_words, prefix)), _ROW), "suffixes")
-    kept = _shared(array, scratch, "neighbours").groupBy("doc").agg(F.collect_set("pos").alias("at"))
-    held = source.join(kept, "doc")
-    windows = scratch.save(held.select("doc", "text", "at").mapInArrow(released(_windows(min_words, prefix)), _ROW), "windows")
+    array = scratch.save(source.mapInArrow(released(_suffixes(min_words, prefix)), _SUFFIX), "suffixes")
+    order = ["key", "ctx", "doc", "pos"]
+    found = scratch.save(array.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(released(_neighbours(PIECE)), _FOUND), "neighbours")
     scratch.drop(array)
-    repeated = _shared(windows, scratch, "repeated").groupBy("doc").agg(F.collect_set("pos").alias("at"))
-    return repeated.mapInArrow(released(_spans(min_words)), "doc_id long, start_word int, end_word int, n_words int")
+    equal, open_ = _settled(found)
+
+    asked = open_.select("doc", F.lit(None).cast("binary").alias("text"), "pos", "lo", "hi", "many", "ctx")
+    texts = source.select("doc", F.col("text").cast("binary").alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("lo", "short"), ("hi", "short"), ("many", "boolean"), ("ctx", "long"))])
+    together = asked.unionByName(texts).repartition(n, "doc").sortWithinPartitions("doc", F.col("pos").asc_nulls_last())
+    spelled = scratch.save(together.mapInArrow(released(_fetch(min_words)), _WORDS), "words")
+    order = ["right", "left", "doc", "pos"]
+    extended = scratch.save(spelled.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(released(_extend(min_words, prefix, WORD_PIECE)), _EXTENDED), "extended")
+    scratch.drop(spelled)
+    held = extended.where("least is not null").groupBy("d1", "d2").agg((F.bool_or("together") | (F.min("least") != F.max("most"))).alias("together"))
+    late = extended.where("d1 is not null and doc is not null").join(held.where("together"), ["d1", "d2"], "left_semi")
+
+    windows = equal.select("doc", (F.col("pos") - F.col("hi")).alias("first"), (F.col("pos") - F.col("lo")).alias("last"))
+    windows = windows.unionByName(extended.where("d1 is null").select("doc", "first", "last")).unionByName(late.select("doc", "first", "last"))
+    before = Window.partitionBy("doc").orderBy("first", "last")
+    reached = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    spans = windows.withColumn("new", F.when(F.col("first") <= reached + min_words, 0).otherwise(1)).withColumn("span", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("doc", "span").agg(F.min("first").alias("start_word"), (F.max("last") + min_words).alias("end_word"))
+    return spans.select(F.col("doc").alias("doc_id"), F.col("start_word").cast("int").alias("start_word"), F.col("end_word").cast("int").alias("end_word"), (F.col("end_word") - F.col("start_word")).cast("int").alias("n_words"))

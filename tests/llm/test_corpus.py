@@ -124,23 +124,71 @@ def test_estimate_is_corrected_and_close():
             both = rng.integers(0, 1 << 63, int(2000 * share)).astype(np.uint64)
             own = [rng.integers(0, 1 << 63, int(1000 * (1 - share))).astype(np.uint64) for _ in range(2)]
             sets = [np.unique(np.concatenate((both, x))) for x in own]
+            sizes = [np.array([len(x)]) for x in sets]
             registers = minhash.sketch(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
             j = len(both) / (len(sets[0]) + len(sets[1]) - len(both))
-            errors.append(minhash.estimate(np.array([(registers[0] == registers[1]).sum()]))[0] - j)
+            errors.append(minhash.estimate(np.array([(registers[0] == registers[1]).sum()]), *sizes)[0] - j)
         assert abs(np.mean(errors)) < 0.03
 
 
+def test_collisions_are_expected_by_size():
+    """Registers of disjoint sets agree as often as the correction says, whatever their sizes."""
+    rng = np.random.default_rng(5)
+    for a, b in ((70, 70), (1000, 1000), (300, 3000)):
+        rows = [minhash.sketch(rng.integers(0, 1 << 63, n * 2000).astype(np.uint64), np.arange(0, n * 2000 + 1, n)) for n in (a, b)]
+        expected = minhash.chance(np.array([a]), np.array([b]))[0]
+        n = rows[0].size
+        assert abs((rows[0] == rows[1]).sum() - n * expected) < 5 * (n * expected) ** 0.5 + 3
+
+
 def test_candidates_pass_by_the_corrected_estimate(monkeypatch):
-    """The main path asks estimate(), and lets no fewer pairs through than the bound of 71 raw registers did."""
-    assert [e for e in range(129) if minhash.estimate(np.array([e]))[0] >= minhash.least_estimate()] == list(range(71, 129))
+    """The main path asks estimate(), and lets pairs through down to its slack under the threshold."""
+    sizes = np.full(129, 200), np.full(129, 210)
+    passing = np.flatnonzero(minhash.estimate(np.arange(129), *sizes) >= minhash.least_estimate())
+    assert passing.tolist() == list(range(passing[0], 129)) and 60 <= passing[0] <= 66
     row = np.arange(128, dtype=np.uint16)
-    other = np.where(np.arange(128) < 71, row, row + 500).astype(np.uint16)
+    other = np.where(np.arange(128) < passing[0], row, row + 500).astype(np.uint16)
     cell = pa.table({"node": [1, 2], "n_shingles": [200, 210], "sketch": [row.tobytes(), other.tobytes()], "small": pa.array([None, None], pa.list_(pa.int64()))})
     assert minhash._bucket_forest(cell).num_rows == 1
-    monkeypatch.setattr(minhash, "estimate", lambda equal: np.zeros(len(equal)))
+    monkeypatch.setattr(minhash, "estimate", lambda equal, a, b: np.zeros(len(equal)))
     assert minhash._bucket_forest(cell).num_rows == 0
 
 
+@pytest.mark.parametrize("inter", [3, 9, 30, 48, 50, 66, 90, 150, 300, 900])
+def test_pairs_at_the_threshold_are_never_lost(inter):
+    """4000 pairs of J = 0.75 exactly: beyond SMALL, each shares a band and passes by its estimate; up to it, each shares
+    one of the rarest shingles, which ``test_short_texts_match_brute_force`` runs through the whole operator."""
+    n, only = 4000, inter // 3
+    rng = np.random.default_rng(inter)
+    for a in {only, only // 2, 0}:
+        both = rng.integers(0, 1 << 63, (n, inter)).astype(np.uint64)
+        sets = [np.concatenate((both, rng.integers(0, 1 << 63, (n, k)).astype(np.uint64)), 1) for k in (a, only - a)]
+        if min(x.shape[1] for x in sets) <= minhash.SMALL:
+            continue
+        rows = [minhash.sketch(x.ravel(), np.arange(0, x.size + 1, x.shape[1])) for x in sets]
+        assert (minhash.band_keys(rows[0]) == minhash.band_keys(rows[1])).any(axis=1).all()
+        sizes = [np.full(n, x.shape[1]) for x in sets]
+        assert (minhash.estimate((rows[0] == rows[1]).sum(axis=1), *sizes) >= minhash.least_estimate()).all()
+
+
+def thue_morse(n=1024):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_fold_are_told_apart(spark):
+    """Two words with one polynomial hash modulo 2**64, whatever the base: different sets, and the library's ids of both."""
+    one, two = thue_morse()
+    rows = [(1, one, "en", "s"), (2, two, "en", "s"), (3, f"{one} x y z w", "en", "s"), (4, f"{two} x y z w", "en", "s"), (5, f"{one} and {two}", "en", "s")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i for i in range(1, 6)}
+    t = library()
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x, _, _ in rows}
+    assert {r.doc_id: r.ids for r in bpe.encode_documents(frame(spark, rows), vocabulary_path(), keep_ids=True).collect()} == want
+    crc = {i: zlib.crc32(np.array([*ids, dac.END_ID], "<u4").tobytes()) for i, ids in want.items()}
+    assert {r.doc_id: r.ids_crc32 for r in dac.token_index(frame(spark, rows), vocabulary_path()).collect()} == crc
+
+
 def repeated(rows, n=50):
     own, many = {}, set()
     texts = [(i, split(lower(t))) for i, t, _, _ in rows if i is not None]
@@ -172,6 +220,58 @@ def test_passages_match_brute_force(spark, parts):
     assert {9, 10} <= {r[0] for r in got}
 
 
+@pytest.mark.parametrize("parts, piece, word_piece", [(1, 50_000, 10_000), (5, 40, 16), (30, 7, 5)])
+def test_extended_matches_match_brute_force(spark, monkeypatch, parts, piece, word_piece):
+    """Prefixes that very many documents hold, in pieces of every size, with matches that end on either side of them, copies,
+    repeats inside a document, rows that share a doc_id, and short vocabularies full of ties."""
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    monkeypatch.setattr(suffixes, "WORD_PIECE", word_piece)
+    rng = random.Random(parts)
+    hot = [f"h{i}" for i in range(58)]
+    stock = [[f"p{k}_{i}" for i in range(rng.randint(20, 70))] for k in range(12)] + [["a", "B"] * 30, ["z"] * 70]
+    rows = []
+    for d in range(260):
+        w = [f"u{rng.randint(0, 5)}" for _ in range(rng.randint(0, 40))]
+        if d % 3 == 0:
+            cut = rng.randint(0, 30)
+            w += hot[cut : cut + rng.randint(28, 58)]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(stock)
+            w += p[rng.randint(0, 8) : len(p) - rng.randint(0, 8)] + [f"v{d}"] * rng.randint(0, 2)
+        rows.append((d % 250 if d < 255 else d, " ".join(w), "en", "s"))
+    rows += [(1000 + i, rows[3][1], "en", "s") for i in range(20)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {tuple(r) for r in suffixes.repeated_passages(frame(spark, rows, extra=False)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = repeated_by_id(rows)
+    assert got == want and len(want) > 100
+
+
+def repeated_by_id(rows, n=50):
+    """``repeated`` where rows of one doc_id share its positions."""
+    own, many, at = {}, set(), {}
+    for i, t, _, _ in rows:
+        w = split(lower(t))
+        for k in range(len(w) - n + 1):
+            if own.setdefault(tuple(w[k : k + n]), i) != i:
+                many.add(tuple(w[k : k + n]))
+    for i, t, _, _ in rows:
+        w = split(lower(t))
+        at.setdefault(i, set()).update(k for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in many)
+    out = set()
+    for i, starts in at.items():
+        spans = []
+        for k in sorted(starts):
+            if spans and k <= spans[-1][1]:
+                spans[-1][1] = k + n
+            else:
+                spans.append([k, k + n])
+        out |= {(i, a, b, b - a) for a, b in spans}
+    return out
+
+
 def library():
     from tokenizers import Tokenizer
 
