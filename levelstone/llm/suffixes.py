@@ -12,8 +12,10 @@ sorted as text, and neighbours are extended: to the right by the words that they
 words that they share in the order of their reversed left sides. A window is repeated if its words to the right and to
 the left are those of a suffix of another document. Repeated windows are merged into spans.
 
-Tables are cut into pieces of bounded size. A prefix that goes on beyond its piece, however many documents hold it, hands
-on what is undecided in it as rows with digests, which are combined map-side and meet by digest.
+Tables are cut into pieces of bounded size. A prefix that goes on beyond its piece, however many documents hold it, is
+decided apart: its suffixes are sorted by their left sides first, where neighbours say how far to the left any match can
+reach, then by their right sides. Windows that reach no further than some neighbour on both sides are few; what one piece
+can't decide of them leaves as digests, one for each different window, which are combined map-side.
 """
 
 from __future__ import annotations
@@ -138,22 +140,20 @@ def _neighbours(limit: int):
 def _settled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(equal suffixes, suffixes to extend) of what neighbours gave out, prefixes of several pieces included."""
     edge = found.where("state = 'edge'").drop("state")
-    whole = edge.groupBy("key", "ctx").agg((F.bool_or("many") | (F.min("doc") != F.max("doc"))).alias("together"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "pos", "lo", "hi")).alias("one"))
-    prefixes = whole.groupBy("key").agg(F.count("*").alias("groups"), F.bool_or(~F.col("together")).alias("single"), (F.bool_or("together") | (F.min("least") != F.max("most"))).alias("several"))
-    prefixes = prefixes.where("groups > 1 and single and several").select("key")
+    whole = edge.groupBy("key", "ctx").agg((F.bool_or("many") | (F.min("doc") != F.max("doc"))).alias("together"), F.min(F.struct("doc", "pos", "lo", "hi")).alias("one"))
     met = edge.join(whole.select("key", "ctx", "together"), ["key", "ctx"])
     equal = found.where("state = 'equal'").select("doc", "pos", "lo", "hi").unionByName(met.where("together and not many").select("doc", "pos", "lo", "hi"))
     columns = ["key", "ctx", "doc", "pos", "lo", "hi", "many"]
     together = whole.where("together").select("key", "ctx", "one.*", F.lit(True).alias("many"))
-    open_ = met.where("not together").select(columns).unionByName(together.select(columns)).join(prefixes, "key", "left_semi")
+    open_ = met.where("not together").select(columns).unionByName(together.select(columns))
     return equal, found.where("state = 'extend'").select(columns).unionByName(open_.select(columns))
 
 
-_WORDS = "right binary, left binary, doc long, pos int, lo short, hi short, many boolean"
+_WORDS = "key long, head binary, tail binary, left binary, doc long, pos int, lo short, hi short, many boolean"
 
 
-def _fetch(min_words: int):
-    """Words to the right and, reversed, to the left of suffixes. Rows of a document: its suffixes, then its texts."""
+def _fetch(min_words: int, prefix: int):
+    """Words to the right of suffixes, the prefix (head) apart from the rest (tail), and to the left, reversed. Rows of a document: its suffixes, then its texts."""
 
     def spelled(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The words in the given order, each with one space behind, and where each begins."""
@@ -176,17 +176,18 @@ def _fetch(min_words: int):
         base = np.searchsorted(doc, np.arange(len(texts) + 1))
         sizes = [len(a) for a in asked]
         own = np.repeat(np.arange(len(texts)), sizes)
-        ids, pos, lo, hi, many, ctx = (np.concatenate([a[k] for a in map(lambda rows: np.array(rows, np.int64).reshape(-1, 6).T, asked)]) for k in range(6))
+        ids, pos, lo, hi, many, ctx, key = np.concatenate([np.array(rows, np.int64) for rows in asked]).T
         p = base[own] + pos
         first, last = p - hi, p - lo + min_words
         fit = (first >= base[own]) & (last <= base[own + 1])
-        p, first, last, ids, pos, lo, hi, many, ctx = (x[fit] for x in (p, first, last, ids, pos, lo, hi, many, ctx))
+        p, first, last, ids, pos, lo, hi, many, ctx, key = (x[fit] for x in (p, first, last, ids, pos, lo, hi, many, ctx, key))
         same = ranges(h, first, last).view(np.int64) == ctx  # rows of one doc_id may have several texts
-        p, first, last, ids, pos, lo, hi, many = (x[same] for x in (p, first, last, ids, pos, lo, hi, many))
+        p, first, last, ids, pos, lo, hi, many, key = (x[same] for x in (p, first, last, ids, pos, lo, hi, many, key))
         n = len(h)
-        right = [ahead[a:b] for a, b in zip(at[p].tolist(), at[last].tolist())]
+        head = [ahead[a:b] for a, b in zip(at[p].tolist(), at[p + prefix].tolist())]
+        tail = [ahead[a:b] for a, b in zip(at[p + prefix].tolist(), at[last].tolist())]
         left = [back[a:b] for a, b in zip(back_at[n - p].tolist(), back_at[n - first].tolist())]
-        yield _batch({"right": (right, pa.binary()), "left": (left, pa.binary()), "doc": (ids, pa.int64()), "pos": (pos.astype(np.int32), pa.int32()), "lo": (lo.astype(np.int16), pa.int16()), "hi": (hi.astype(np.int16), pa.int16()), "many": (many.astype(bool), pa.bool_())})
+        yield _batch({"key": (key, pa.int64()), "head": (head, pa.binary()), "tail": (tail, pa.binary()), "left": (left, pa.binary()), "doc": (ids, pa.int64()), "pos": (pos.astype(np.int32), pa.int32()), "lo": (lo.astype(np.int16), pa.int16()), "hi": (hi.astype(np.int16), pa.int16()), "many": (many.astype(bool), pa.bool_())})
 
     def run(batches):
         doc, rows, texts, asked, size = None, [], [], [], 0
@@ -196,7 +197,7 @@ def _fetch(min_words: int):
                 if d != doc:
                     doc, rows = d, []
                 if columns["pos"][i] is not None:
-                    rows.append((d, columns["pos"][i], columns["lo"][i], columns["hi"][i], columns["many"][i], columns["ctx"][i]))
+                    rows.append((d, columns["pos"][i], columns["lo"][i], columns["hi"][i], columns["many"][i], columns["ctx"][i], columns["key"][i]))
                 elif rows:
                     texts.append(columns["text"][i].as_buffer().to_pybytes())
                     asked.append(rows)
@@ -224,84 +225,141 @@ def _shared_words(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, lo)
 
 
-def _window(right: bytes, left: bytes, i: int, min_words: int) -> list[int]:
-    """Digest of the window with ``i`` words to the left, as two longs."""
-    text = b" ".join(left.split(b" ", i)[:i]) + b"\n" + b" ".join(right.split(b" ", min_words - i)[: min_words - i])
+def _shared(column: list[bytes]) -> np.ndarray:
+    """Words that each shares with the one before; -1 for the first."""
+    return np.array([-1, *(_shared_words(a, b) for a, b in zip(column, column[1:]))])
+
+
+def _window(head: bytes, tail: bytes, left: bytes, i: int, more: int) -> list[int]:
+    """Digest of the window with ``i`` words to the left and ``more`` behind the prefix, as two longs."""
+    text = b" ".join(left.split(b" ", i)[:i]) + b"\n" + head + b" ".join(tail.split(b" ", more)[:more])
     d = hashlib.blake2b(text, digest_size=16).digest()
     return [int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)]
 
 
-_EXTENDED = "doc long, first int, last int, d1 long, d2 long, least long, most long, together boolean"
+class _Piece:
+    """Suffixes with their words, sorted by prefix and by what follows it, and what neighbours share on either side."""
+
+    def __init__(self, table: pa.Table, min_words: int, prefix: int):
+        self.min_words, self.prefix, self.n = min_words, prefix, len(table)
+        self.head, self.tail, self.left = (table[c].to_pylist() for c in ("head", "tail", "left"))
+        self.doc, self.pos, self.lo, self.hi, self.many = (table[c].to_numpy() for c in ("doc", "pos", "lo", "hi", "many"))
+        new = np.array([True, *(a != b for a, b in zip(self.head, self.head[1:]))])
+        self.run = np.cumsum(new) - 1
+        self.ahead = np.where(new, -1, prefix + _shared(self.tail))
+        runs, left = self.run.tolist(), self.left
+        order = np.array(sorted(range(self.n), key=lambda k: (runs[k], left[k])))
+        self.back = np.where(_begins(self.run[order]), -1, _shared([left[k] for k in order]))
+        self.place = np.empty(self.n, np.int64)
+        self.place[order] = np.arange(self.n)
+
+    def groups(self, lo: np.ndarray, hi: np.ndarray):
+        """For each ``i``: rows with lo <= i <= hi in the order of equal windows, the group of each, the first row of each
+        group, its least and greatest document, and whether several documents hold it."""
+        for i in range(self.min_words - self.prefix + 1):
+            rows = np.flatnonzero((lo <= i) & (i <= hi))
+            if len(rows):
+                same = (np.cumsum(self.ahead < self.min_words - i) * (self.n + 1) + np.cumsum(self.back < i)[self.place])[rows]
+                by = np.lexsort((self.doc[rows], same))
+                rows, same = rows[by], same[by]
+                new = _begins(same)
+                first, group = np.flatnonzero(new), np.cumsum(new) - 1
+                least, most = self.doc[rows[first]], self.doc[rows[np.append(first[1:], len(rows)) - 1]]
+                yield i, rows, group, first, least, most, (least != most) | (np.bincount(group, self.many[rows]) > 0)
+
+    def windows(self, hit: np.ndarray) -> dict:
+        """Runs of repeated windows, ``hit[row, i]``, as columns."""
+        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (row, low), (_, high) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        return {"doc": (self.doc[row], pa.int64()), "first": ((self.pos[row] - high + 1).astype(np.int32), pa.int32()), "last": ((self.pos[row] - low).astype(np.int32), pa.int32())}
+
+
+def _full(columns: dict, schema: list[tuple]) -> pa.RecordBatch:
+    """A batch of the schema; columns that aren't given are null."""
+    n = len(next(iter(columns.values()))[0])
+    return _batch({c: columns.get(c, ([None] * n, t)) for c, t in schema})
 
 
 def _extend(min_words: int, prefix: int, limit: int):
-    """Windows that suffixes of one piece repeat: (doc, first, last) without digest. Of prefixes that may go on in another
-    piece also, with its digest, one row for each different window (least, most, together: documents that hold it here)
-    and one for each that only one document holds here (doc, first)."""
-    span = min_words - prefix + 1
+    """Repeated windows (doc, first, last), and all suffixes of prefixes that may go on in another piece, as they came."""
 
-    def shared(column: list[bytes]) -> np.ndarray:
-        return np.array([-1, *(_shared_words(a, b) for a, b in zip(column, column[1:]))])
-
-    def breaks(table: pa.Table) -> np.ndarray:
-        return np.flatnonzero(shared(table["right"].to_pylist()) < prefix)
-
-    def piece(table: pa.Table, open_left: bool, open_right: bool):
-        right, left = table["right"].to_pylist(), table["left"].to_pylist()
-        doc, pos, lo, hi, many = (table[c].to_numpy() for c in ("doc", "pos", "lo", "hi", "many"))
-        n = len(doc)
-        ahead = shared(right)
-        run = np.cumsum(ahead < prefix) - 1
-        outer = np.array([open_left] + [False] * run[-1])
-        outer[-1] |= open_right
-        runs = run.tolist()
-        order = np.array(sorted(range(n), key=lambda k: (runs[k], left[k])))
-        back = shared([left[k] for k in order])
-        back[_begins(run[order])] = -1
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        hit = np.zeros((n, span + 1), bool)
-        for i in range(span):
-            rows = np.flatnonzero((lo <= i) & (i <= hi))
-            if not len(rows):
+    def breaks(table):
+        return np.flatnonzero(_begins(table["key"].to_numpy()))
+
+    def run(batches):
+        for table, open_left, open_right in _pieces(batches, limit, breaks):
+            key = np.cumsum(_begins(table["key"].to_numpy())) - 1
+            outer = np.array([open_left] + [False] * key[-1])
+            outer[-1] |= open_right
+            outer = outer[key]
+            schema = [("doc", pa.int64()), ("first", pa.int32()), ("last", pa.int32())] + [(f.name, f.type) for f in table.schema if f.name != "doc"]
+            if outer.any():
+                rows = table.filter(pa.array(outer))
+                yield _full({c: (rows[c].combine_chunks(), rows[c].type) for c in rows.column_names}, schema)
+            if not outer.all():
+                piece = _Piece(table.filter(pa.array(~outer)), min_words, prefix)
+                hit = np.zeros((piece.n, min_words - prefix + 1), bool)
+                for i, rows, group, _, _, _, together in piece.groups(piece.lo, piece.hi):
+                    hit[rows, i] = together[group] & ~piece.many[rows]
+                yield _full(piece.windows(hit), schema)
+
+    return run
+
+
+_EXTENDED = "doc long, first int, last int, " + _WORDS.replace("doc long, ", "")
+
+
+def _reach(prefix: int):
+    """Suffixes sorted by prefix and left side, with the most words that any other one shares there, or all where a
+    neighbour lies in another part; those whose windows need more than that drop out."""
+
+    def run(batches):
+        before = None
+        held = None
+        for batch in [*batches, None]:
+            if batch is not None and not batch.num_rows:
                 continue
-            same = (np.cumsum(ahead < min_words - i) * (n + 1) + np.cumsum(back < i)[place])[rows]
-            by = np.lexsort((doc[rows], same))
-            rows, same = rows[by], same[by]
-            first = np.flatnonzero(_begins(same))
-            group = np.cumsum(_begins(same)) - 1
-            together = np.bincount(group, many[rows]) > 0
-            least, most = doc[rows[first]], doc[rows[np.append(first[1:], len(rows)) - 1]]
-            together |= least != most
-            hit[rows, i] = together[group] & ~many[rows]
-            if (at := np.flatnonzero(outer[run[rows]])).size:
-                heads = first[outer[run[rows[first]]]]
-                digests = {int(group[k]): _window(right[rows[k]], left[rows[k]], i, min_words) for k in heads}
-                g = [int(group[k]) for k in heads]
-                yield summary(digests, g, least, most, together)
-                alone = at[~together[group[at]]]
-                yield single(digests, group[alone].tolist(), doc[rows[alone]], pos[rows[alone]] - i)
-        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 0))), axis=1)
-        row, from_ = np.nonzero(edge == 1)
-        _, to = np.nonzero(edge == -1)
-        yield _batch(blank(len(row)) | {"doc": (doc[row], pa.int64()), "first": ((pos[row] - to + 1).astype(np.int32), pa.int32()), "last": ((pos[row] - from_).astype(np.int32), pa.int32())})
-
-    def blank(k: int) -> dict:
-        kinds = (("doc", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("together", pa.bool_()))
-        return {c: ([None] * k, t) for c, t in kinds}
-
-    def summary(digests, g, least, most, together):
-        d1, d2 = ([digests[x][k] for x in g] for k in (0, 1))
-        return _batch(blank(len(g)) | {"d1": (d1, pa.int64()), "d2": (d2, pa.int64()), "least": (least[g], pa.int64()), "most": (most[g], pa.int64()), "together": (together[g], pa.bool_())})
-
-    def single(digests, g, doc, first):
-        d1, d2 = ([digests[x][k] for x in g] for k in (0, 1))
-        first = first.astype(np.int32)
-        return _batch(blank(len(g)) | {"doc": (doc, pa.int64()), "first": (first, pa.int32()), "last": (first, pa.int32()), "d1": (d1, pa.int64()), "d2": (d2, pa.int64())})
+            if held is not None:
+                head, left = held.column("head").to_pylist(), held.column("left").to_pylist()
+                nxt = (batch.column("head")[0].as_py(), batch.column("left")[0].as_py()) if batch is not None else None
+                heads, lefts = [before[0] if before else None, *head, nxt[0] if nxt else None], [before[1] if before else b"", *left, nxt[1] if nxt else b""]
+                met = np.array([1 << 14 if a is None or b is None else _shared_words(x, y) if a == b else 0 for a, b, x, y in zip(heads, heads[1:], lefts, lefts[1:])])
+                reach = np.maximum(met[:-1], met[1:])
+                top = np.minimum(reach, held.column("hi").to_numpy())
+                keep = top >= held.column("lo").to_numpy()
+                out = held.append_column("top", pa.array(top.astype(np.int16)))
+                yield out.filter(pa.array(keep))
+                before = head[-1], left[-1]
+            held = batch
+
+    return run
+
+
+_DECIDED = "doc long, first int, last int, d1 long, d2 long, least long, most long, together boolean"
+_DECIDED_KINDS = [("doc", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("together", pa.bool_())]
+
+
+def _decide(min_words: int, prefix: int, limit: int):
+    """Windows of prefixes that go on over several pieces. Repeated ones as (doc, first, last); of those that one document
+    alone holds here, the same with the window's digest; and each different window's documents (least, most, together)."""
 
     def run(batches):
-        for table, left, right in _pieces(batches, limit, breaks):
-            yield from piece(table, left, right)
+        # any cut will do: all that a piece leaves open is handed on
+        for table, _, _ in _pieces(batches, limit, lambda t: np.zeros(1, np.int64)):
+            piece = _Piece(table, min_words, prefix)
+            top = table["top"].to_numpy()
+            most_right = np.maximum(piece.ahead, np.append(piece.ahead[1:], -1))
+            most_right[0] = most_right[-1] = min_words  # neighbours elsewhere
+            low = np.maximum(piece.lo, min_words - most_right)
+            hit = np.zeros((piece.n, min_words - prefix + 1), bool)
+            for i, rows, group, first, least, most, together in piece.groups(low, top):
+                hit[rows, i] = together[group] & ~piece.many[rows]
+                digests = np.array([_window(piece.head[k], piece.tail[k], piece.left[k], i, min_words - i - prefix) for k in rows[first]], np.int64)
+                yield _full({"d1": (digests[:, 0], pa.int64()), "d2": (digests[:, 1], pa.int64()), "least": (least, pa.int64()), "most": (most, pa.int64()), "together": (together, pa.bool_())}, _DECIDED_KINDS)
+                alone = ~together[group]
+                start, own = (piece.pos[rows[alone]] - i).astype(np.int32), digests[group[alone]]
+                yield _full({"doc": (piece.doc[rows[alone]], pa.int64()), "first": (start, pa.int32()), "last": (start, pa.int32()), "d1": (own[:, 0], pa.int64()), "d2": (own[:, 1], pa.int64())}, _DECIDED_KINDS)
+            yield _full(piece.windows(hit), _DECIDED_KINDS)
 
     return run
 
@@ -328,18 +386,26 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     scratch.drop(array)
     equal, open_ = _settled(found)
 
-    asked = open_.select("doc", F.lit(None).cast("binary").alias("text"), "pos", "lo", "hi", "many", "ctx")
-    texts = source.select("doc", F.col("text").cast("binary").alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("lo", "short"), ("hi", "short"), ("many", "boolean"), ("ctx", "long"))])
+    asked = open_.select("doc", F.lit(None).cast("binary").alias("text"), "pos", "lo", "hi", "many", "ctx", "key")
+    texts = source.select("doc", F.col("text").cast("binary").alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("lo", "short"), ("hi", "short"), ("many", "boolean"), ("ctx", "long"), ("key", "long"))])
     together = asked.unionByName(texts).repartition(n, "doc").sortWithinPartitions("doc", F.col("pos").asc_nulls_last())
-    spelled = scratch.save(together.mapInArrow(released(_fetch(min_words)), _WORDS), "words")
-    order = ["right", "left", "doc", "pos"]
-    extended = scratch.save(spelled.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(released(_extend(min_words, prefix, WORD_PIECE)), _EXTENDED), "extended")
+    spelled = scratch.save(together.mapInArrow(released(_fetch(min_words, prefix)), _WORDS), "words")
+    order = ["key", "head", "tail", "left", "doc", "pos"]
+    by_prefix = spelled.repartitionByRange(n, "key", "doc", "pos").sortWithinPartitions(*order)
+    extended = scratch.save(by_prefix.mapInArrow(released(_extend(min_words, prefix, WORD_PIECE)), _EXTENDED), "extended")
     scratch.drop(spelled)
-    held = extended.where("least is not null").groupBy("d1", "d2").agg((F.bool_or("together") | (F.min("least") != F.max("most"))).alias("together"))
-    late = extended.where("d1 is not null and doc is not null").join(held.where("together"), ["d1", "d2"], "left_semi")
+    wide = extended.where("key is not null").select("key", "head", "tail", "left", "doc", "pos", "lo", "hi", "many")
+    by_left = wide.repartitionByRange(n, "key", "left", "tail", "doc", "pos").sortWithinPartitions("key", "head", "left", "tail", "doc", "pos")
+    reached = scratch.save(by_left.mapInArrow(released(_reach(prefix)), _WORDS + ", top short"), "reached")
+    by_right = reached.repartitionByRange(n, "key", "tail", "left", "doc", "pos").sortWithinPartitions(*order)
+    decided = scratch.save(by_right.mapInArrow(released(_decide(min_words, prefix, WORD_PIECE)), _DECIDED), "decided")
+    scratch.drop(reached)
+    held = decided.where("least is not null").groupBy("d1", "d2").agg((F.bool_or("together") | (F.min("least") != F.max("most"))).alias("together"))
+    late = decided.where("d1 is not null and doc is not null").join(held.where("together"), ["d1", "d2"], "left_semi")
 
     windows = equal.select("doc", (F.col("pos") - F.col("hi")).alias("first"), (F.col("pos") - F.col("lo")).alias("last"))
-    windows = windows.unionByName(extended.where("d1 is null").select("doc", "first", "last")).unionByName(late.select("doc", "first", "last"))
+    windows = windows.unionByName(extended.where("key is null").select("doc", "first", "last"))
+    windows = windows.unionByName(decided.where("d1 is null").select("doc", "first", "last")).unionByName(late.select("doc", "first", "last"))
     before = Window.partitionBy("doc").orderBy("first", "last")
     reached = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
     spans = windows.withColumn("new", F.when(F.col("first") <= reached + min_words, 0).otherwise(1)).withColumn("span", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
