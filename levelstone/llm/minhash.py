@@ -336,7 +336,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     bands = classes.select("node", F.explode("keys").alias("key")).unionByName(_rare_keys(classes, scratch))
     bands = scratch.save(bands, "keys")
-    shared = scratch.save(bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    # buckets of the same members are one: near copies meet in many bands
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
+    shared = bands.groupBy("key").agg(F.count("*").alias("members"), *marks).where("members > 1")
+    shared = scratch.save(shared.groupBy("members", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "members"), "buckets")
     load = F.lit(1 / BLOCK)
     members = scratch.save(bands.join(shared, "key").select("key", "node", "members", load.alias("load"), F.ceil(F.col("members") * load).cast("int").alias("parts")), "members")
 
