@@ -489,27 +489,62 @@ def brute_top(rows, k=10):
     width = max(len(v) for _, v in ok)
     ok = [(i, np.pad(v, (0, width - len(v)))) for i, v in ok]
     out = []
-    for i, v in ok:
-        if i % 100 == 0:
-            best = sorted(((-int(v @ w), j) for j, w in ok if j != i))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    for i in {i for i, _ in ok if i % 100 == 0}:  # rows of one query id share a ranking
+        best = sorted((-int(v @ w), j) for own, v in ok if own == i for j, w in ok if j != i)[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
 
-def test_top_k_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(mtree, "CELL", 64)
-    monkeypatch.setattr(mtree, "QUERY_BLOCK", 2)
+@pytest.mark.parametrize("cell, fan, levels, share", [(4096, 64, 8, 50_000), (40, 4, 8, 7), (16, 3, 2, 50_000)])
+def test_top_k_matches_brute_force(spark, monkeypatch, cell, fan, levels, share):
+    """One leaf, a deep tree whose nodes are dealt to several tasks, and one that is cut at its last level."""
+    for name, value in (("CELL", cell), ("FAN", fan), ("LEVELS", levels), ("SHARE", share)):
+        monkeypatch.setattr(mtree, name, value)
     rng = np.random.default_rng(3)
     same = rng.normal(size=8).tolist()
     rows = [(i, rng.normal(size=8).tolist()) for i in range(500)] + [(i, same) for i in range(500, 900)]
     rows += [(1000, None), (1100, [1.0, None]), (1200, [float("nan")] * 8), (1300, [float("inf")] * 8), (None, same), (1400, [1.0, 2.0]), (1500, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", mtree.F.lit("clash"))
+    rows += [(501, same)] * 30 + [(200, rows[7][1]), (200, rows[200][1]), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", mtree.F.lit("clash")).withColumn("node", mtree.F.lit("clash"))
     rows = [(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v]) for i, v in rows]
     assert sorted(tuple(r) for r in mtree.top_k(df).collect()) == brute_top(rows)
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in mtree.top_k(few).collect()] == [(0, 1, 1, 1024 * 2048)]
 
 
+@pytest.mark.parametrize("size", [1e4, 1e6, 1e8, 1e12])
+def test_top_k_of_large_components(spark, monkeypatch, size):
+    """Beyond what doubles multiply exactly, and beyond what a long holds."""
+    monkeypatch.setattr(mtree, "CELL", 30)
+    monkeypatch.setattr(mtree, "FAN", 4)
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=6) * size).tolist()) for i in range(300)]
+    got = {(r.query_id, r["rank"]): r for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    v = {i: [int(np.floor(1024 * c)) for c in x] for i, x in rows}
+    limit = (1 << 63) - 1
+    for q in (0, 100, 200):
+        best = sorted((-max(-limit - 1, min(limit, sum(a * b for a, b in zip(v[q], v[i])))), i) for i in v if i != q)[:10]
+        if size < 1e8:
+            assert [(-got[q, r + 1].score, got[q, r + 1].vec_id) for r in range(10)] == best
+        else:
+            assert [-got[q, r + 1].score for r in range(10)] == [s for s, _ in best]
+
+
+def test_the_tree_prunes(spark, monkeypatch):
+    """Clustered vectors: a query visits few of the leaves."""
+    monkeypatch.setattr(mtree, "CELL", 100)
+    monkeypatch.setattr(mtree, "FAN", 16)
+    seen, search = [], mtree._search
+    monkeypatch.setattr(mtree, "_search", lambda visits, leaves, *a: seen.append((visits.count(), leaves.select("node").distinct().count())) or search(visits, leaves, *a))
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 6)) * 3
+    rows = [(i, (centres[i % 40] + rng.normal(size=6) * 0.05).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in mtree.top_k(df).collect()) == brute_top(rows)
+    visits, leaves = seen[-1]
+    assert leaves >= 40 and visits < 40 * leaves / 3
+
+
 def test_cells_avoid_products():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 8)) * 2000
@@ -519,6 +554,16 @@ def test_cells_avoid_products():
     assert cell.products < 1000
 
 
+def test_nodes_leave_out_children_by_stored_distances():
+    """The bounds hold for every child: none that they exclude has a row of the floor or more."""
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(size=(400, 5)) * 1000)
+    reach = float((x * x).sum(axis=1).max())
+    q = x[:7]
+    to = mtree._distances(mtree._flat(q), mtree._lift(x, reach))
+    assert (np.abs(mtree._best((q * q).sum(axis=1)[:, None], reach, to) - 0.5 - q @ x.T) < 0.5).all()
+
+
 def test_licenses(spark):
     got = {r.doc_id: r for r in licenses.license_scan(frame(spark)).collect()}
     assert got[12].line_licenses == "MIT" and got[12].n_license_lines == 1 and got[12].license_id is None
