@@ -28,8 +28,8 @@ from .runs import RunTable
 #: White space as the normaliser's pattern has it; Python's own split() takes four control characters more.
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Different runs and words that a worker remembers; it changes speed, never results.
-CACHE_RUNS, CACHE_WORDS = 300_000, 50_000
+#: Different runs, words and pairs of tokens that a worker remembers; it changes speed, never results.
+CACHE_RUNS, CACHE_WORDS, CACHE_PAIRS = 200_000, 30_000, 100_000
 _FOREVER = 1 << 60
 
 
@@ -115,7 +115,7 @@ class PrefixBPE:
                     k = before[0] << 20 | token
                     ok = pairs.get(k)
                     if ok is None:
-                        if len(pairs) > 200_000:
+                        if len(pairs) > CACHE_PAIRS:
                             pairs.clear()
                         ok = pairs[k] = self._meets(before[0], token)
                     if not ok:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import os
 import sys
@@ -15,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .wordhash import POWERS
+
 _SHIPPED: set[str] = set()
-#: Rows in one Arrow batch; with whole texts of up to some 100 kB this keeps a batch in tens of MB.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch; a row larger than that is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers and bound the Arrow batches they get."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -33,6 +38,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
     sc.addPyFile(name)
+    atexit.register(contextlib.suppress(OSError)(os.remove), name)  # the driver serves it as long as it lives
     _SHIPPED.add(sc.applicationId)
 
 
@@ -43,6 +49,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
+            POWERS.clear()
             pa.default_memory_pool().release_unused()
             if sys.platform == "linux":
                 ctypes.CDLL(None).malloc_trim(0)
@@ -51,9 +58,12 @@ def released(run):
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set."""
+    """The shared folder that the session names. A cluster without one is an error; a session in one process, whose only
+    machine is the driver's, gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(root)
     return root

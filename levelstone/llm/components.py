@@ -50,7 +50,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     the edges form stars. Every step's table is written to the shared folder. No edges: an empty result.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and a < b")
-    now = scratch.save(edges.mapInArrow(released(_forest), _EDGE).distinct(), "forest")
+    # a forest within each task comes after a shuffle: one Python worker for each core, whatever the edges come from
+    now = scratch.save(edges.distinct().mapInArrow(released(_forest), _EDGE).distinct(), "forest")
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")

@@ -16,7 +16,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = []
+#: Powers kept while a task runs.
+POWERS: list[np.ndarray] = []
 #: Bytes of a word that its identity holds as they are.
 PLAIN = 16
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -24,13 +25,13 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, for hashes of ranges read off one prefix sum."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS.clear()
+    if not POWERS or len(POWERS[0]) < n:
+        POWERS.clear()
         for b in (_BASE, _INV):
             power = np.full(max(n, 1 << 18), b, np.uint64)
             power[0] = 1
-            _POWERS.append(np.cumprod(power, dtype=np.uint64))
-    return _POWERS[0], _POWERS[1]
+            POWERS.append(np.cumprod(power, dtype=np.uint64))
+    return POWERS[0], POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
