@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def robust_z(df: DataFrame, value: str, out: str, series: str = "series_id") -> DataFrame:
     """``df`` with 0.6745 (x - median) / MAD by series. Infinite values don't enter the median and the MAD but get a z;
-    NULL where a series has no finite value or a MAD of 0."""
+    NULL where a series has no finite value or a MAD of 0. Both medians are windows over a series, in the partitioning
+    that other windows of the series have: no scan and no shuffle of their own."""
+    w = Window.partitionBy(series)
     x = F.col(value)
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    centre = df.where(finite).groupBy(series).agg(F.median(value).alias("_median"))
-    spread = df.where(finite).join(centre, series).groupBy(series).agg(F.first("_median").alias("_median"), F.median(F.abs(x - F.col("_median"))).alias("_mad"))
-    z = F.when(F.col("_mad") > 0, F.lit(0.6745) * (x - F.col("_median")) / F.col("_mad"))
-    return df.join(spread, series, "left").withColumn(out, z).drop("_median", "_mad")
+    df = df.withColumn("_median", F.median(F.when(finite, x)).over(w))
+    df = df.withColumn("_mad", F.median(F.when(finite, F.abs(x - F.col("_median")))).over(w))
+    return df.withColumn(out, F.when(F.col("_mad") > 0, F.lit(0.6745) * (x - F.col("_median")) / F.col("_mad"))).drop("_median", "_mad")
 
 
 def two_sided_p(above: Column, below: Column, n: Column) -> Column:

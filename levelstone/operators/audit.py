@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import levels as L
 from ..functions.stats import robust_z
 from ..sources.bars import RAW_COLUMNS
+from .dataset import series_of
 
 PRICES = ("open", "high", "low", "close")
 CLOSE_JUMP, VOLUME_JUMP, ROBUST_Z, RANGE, HOLIDAY_WEEKDAYS = 0.10, 5.0, 8.0, 0.10, 10
@@ -131,10 +132,32 @@ def summary(raw: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def pending_review(found: DataFrame, decided: DataFrame) -> DataFrame:
-    """Flags of days without a decision, one row for each day and rule. A decision settles its whole day."""
-    days = decided.select("date").where("date is not null").distinct()
-    flagged = found.where("parsed_date is not null").select(F.col("parsed_date").alias("date"), "rule").distinct()
-    return flagged.join(days, "date", "left_anti").withColumns({c: F.lit("") for c in QUEUE_COLUMNS[2:]}).orderBy("date", "rule")
+    """Flags of days without a decision, one row for each day and rule. A decision settles its whole day, of its series
+    where decisions have a column series_id."""
+    by = [*series_of(decided), "date"]
+    days = decided.select(by).where("date is not null").distinct()
+    flagged = found.where("parsed_date is not null").withColumn("date", F.col("parsed_date")).select(*by, "rule").distinct()
+    return flagged.join(days, by, "left_anti").withColumns({c: F.lit("") for c in QUEUE_COLUMNS[2:]}).orderBy(*by, "rule")
+
+
+def _bracketed() -> tuple[Column, Column]:
+    """(all four prices are there, open and close lie between low and high)."""
+    c = F.col
+    whole = c("open_num").isNotNull() & c("high_num").isNotNull() & c("low_num").isNotNull() & c("close_num").isNotNull()
+    return whole, c("open_num").between(c("low_num"), c("high_num")) & c("close_num").between(c("low_num"), c("high_num")) & (c("high_num") >= c("low_num"))
+
+
+def gate_offenders(raw: DataFrame, most: int = 20) -> DataFrame:
+    """(gate, series_id, parsed_date, source_row_number): every duplicated day, and the first ``most`` rows of a series that
+    go back in time or break the bracket of their prices."""
+    p = parse(raw).withColumn("_before", F.last("parsed_date", ignorenulls=True).over(in_file_order().rowsBetween(Window.unboundedPreceding, -1)))
+    whole, bracket = _bracketed()
+    days = p.where("parsed_date is not null").groupBy("series_id", "parsed_date").agg(F.count("*").alias("copies")).where("copies > 1")
+    days = days.select(F.lit("duplicate_dates").alias("gate"), "series_id", "parsed_date", F.lit(None).cast("long").alias("source_row_number"))
+    rows = p.select("series_id", "parsed_date", "source_row_number", F.explode(F.array_compact(F.array(F.when(F.col("parsed_date") < F.col("_before"), F.lit("dates_not_ascending")), F.when(whole & ~bracket, F.lit("ohlc_bracket"))))).alias("gate"))
+    place = F.row_number().over(Window.partitionBy("gate", "series_id").orderBy("source_row_number"))
+    first = rows.withColumn("_place", place).where(F.col("_place") <= most)
+    return days.unionByName(first.select(days.columns)).withColumn("parsed_date", F.date_format("parsed_date", "yyyy-MM-dd"))
 
 
 def gate_report(raw: DataFrame) -> DataFrame:
@@ -142,15 +165,17 @@ def gate_report(raw: DataFrame) -> DataFrame:
     p = parse(raw).withColumn("_copies", F.count("parsed_date").over(Window.partitionBy("series_id", "parsed_date")))
     dated = p.where("parsed_date is not null").withColumn("_before", F.lag("parsed_date").over(in_file_order()))
     c = F.col
-    whole = c("open_num").isNotNull() & c("high_num").isNotNull() & c("low_num").isNotNull() & c("close_num").isNotNull()
-    bracket = c("open_num").between(c("low_num"), c("high_num")) & c("close_num").between(c("low_num"), c("high_num")) & (c("high_num") >= c("low_num"))
+    whole, bracket = _bracketed()
     one = p.agg(F.count_if(c("parsed_date").isNotNull() & (c("_copies") > 1)).alias("a"), F.count_if(whole & ~bracket).alias("b"))
     one = one.crossJoin(dated.agg(F.count_if(c("parsed_date") < c("_before")).alias("d")))  # one row each
     return one.selectExpr("stack(3, 'duplicate_dates', a, 'dates_not_ascending', d, 'ohlc_bracket', b) as (gate, violations)")
 
 
 def check_gates(raw: DataFrame) -> None:
-    """ValueError that names every gate with violations."""
-    broken = [f"{r.gate}: {r.violations}" for r in gate_report(raw).where("violations > 0").collect()]  # three rows at most
+    """ValueError that names every gate with violations, and the days and rows that break it (20 a gate and series)."""
+    broken = {r.gate: r.violations for r in gate_report(raw).where("violations > 0").collect()}  # three rows at most
     if broken:
-        raise ValueError("input gates failed: " + ", ".join(broken))
+        shown = {g: [] for g in broken}
+        for r in gate_offenders(raw).orderBy("gate", "series_id", "source_row_number", "parsed_date").limit(100).collect():
+            shown.setdefault(r.gate, []).append(f"{r.parsed_date}" + (f" (row {r.source_row_number})" if r.source_row_number is not None else ""))
+        raise ValueError("input gates failed: " + "; ".join(f"{g}: {n}, at {', '.join(shown[g][:20])}" for g, n in broken.items()))

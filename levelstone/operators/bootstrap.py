@@ -42,19 +42,25 @@ def jitter(sim: Column, width: float = 50.0) -> Column:
     return F.pmod(sim * F.lit(7919) + F.lit(SEED), F.lit(10007)) / F.lit(10007.0) * F.lit(float(width))
 
 
-def numpy_starts(spark: SparkSession, n: int, n_needed: int, n_sim: int = N_SIM, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(sim, starts) from numpy's default generator: uniform whole numbers in [0, n - block]."""
+def numpy_starts(spark: SparkSession, n: int, n_needed: int, n_sim: int = N_SIM, block: int = BLOCK, seed: int = SEED, width: float | None = None) -> DataFrame:
+    """(sim, starts) from numpy's default generator: uniform whole numbers in [0, n - block]. With ``width`` also an
+    ``offset`` of the start price, uniform in [0, width) and drawn after all starts from the same stream."""
     import numpy as np
 
     length = min(block, n)
-    starts = np.random.default_rng(seed).integers(0, n - length + 1, size=(n_sim, -(-n_needed // length)))
+    rng = np.random.default_rng(seed)
+    starts = rng.integers(0, n - length + 1, size=(n_sim, -(-n_needed // length)))
+    if width is not None:
+        rows = zip(range(n_sim), starts.tolist(), rng.uniform(0.0, width, n_sim).tolist())
+        return spark.createDataFrame(list(rows), "sim long, starts array<long>, offset double")
     return spark.createDataFrame([(i, x) for i, x in enumerate(starts.tolist())], "sim long, starts array<long>")
 
 
-def draws(arrays: DataFrame, n_sim: int = N_SIM, block: int = BLOCK, starts: DataFrame | None = None) -> DataFrame:
-    """(series_id, start_price, sim, t, step [, outcome]) with t from 1 to the number of steps."""
+def draws(arrays: DataFrame, n_sim: int = N_SIM, block: int | Column = BLOCK, starts: DataFrame | None = None) -> DataFrame:
+    """(series_id, start_price, sim, t, step [, outcome, offset]) with t from 1 to the number of steps. The length of blocks
+    may be a column of ``arrays``; an offset comes with ``starts``."""
     n = F.size("steps")
-    a = arrays.withColumn("_n", n).withColumn("_l", F.least(n, F.lit(block))).withColumn("_k", F.ceil(F.col("_n") / F.col("_l")).cast("int"))
+    a = arrays.withColumn("_n", n).withColumn("_l", F.least(n, block if isinstance(block, Column) else F.lit(block))).withColumn("_k", F.ceil(F.col("_n") / F.col("_l")).cast("int"))
     a = a.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sim - 1).cast("long"))))
     if starts is None:
         a = a.withColumn("starts", F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda b: arith_start(F.col("sim"), b.cast("long"), F.col("_n"), F.col("_l")).cast("int")))
@@ -67,13 +73,15 @@ def draws(arrays: DataFrame, n_sim: int = N_SIM, block: int = BLOCK, starts: Dat
         return F.slice(F.flatten(F.transform("starts", lambda s: F.slice(F.col(values), (s + 1).cast("int"), F.col("_l")))), F.lit(1), F.col("_n"))
 
     parts = {k: laid(v) for k, v in cut.items()}
-    zipped = a.select("series_id", "start_price", "sim", F.arrays_zip(*[x.alias(k) for k, x in parts.items()]).alias("z"))
-    rows = zipped.select("series_id", "start_price", "sim", F.posexplode("z").alias("t", "z"))
-    return rows.select("series_id", "start_price", "sim", (F.col("t") + 1).cast("long").alias("t"), *[F.col(f"z.{k}").alias(k) for k in cut])
+    keys = ["series_id", "start_price", "sim", *(["offset"] if "offset" in a.columns else [])]
+    zipped = a.select(*keys, F.arrays_zip(*[x.alias(k) for k, x in parts.items()]).alias("z"))
+    rows = zipped.select(*keys, F.posexplode("z").alias("t", "z"))
+    return rows.select(*keys, (F.col("t") + 1).cast("long").alias("t"), *[F.col(f"z.{k}").alias(k) for k in cut])
 
 
 def paths(drawn: DataFrame, kind: str = "log", floor: float = 1.0, offset: Column | None = None) -> DataFrame:
     """(series_id, sim, t, price [, outcome]) with the start at t = 0. Additive paths stop at ``floor``."""
+    offset = F.col("offset") if offset is None and "offset" in drawn.columns else offset
     start = F.col("start_price") + offset if offset is not None else F.col("start_price")
     w = Window.partitionBy("series_id", "sim").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum("step").over(w)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import levels as L
 from ..functions.stats import two_sided_p
 from . import bootstrap as B
+from .dataset import excluded_days
 from .distribution import BINS, occupancy_stats
 
 Z = 1.96
@@ -129,6 +130,65 @@ def sensitivity(closes: DataFrame, simulated: DataFrame, variant: str, threshold
     return t.select("variant", "null_median", "null_p2_5", "null_p97_5", F.round(F.col("null_p97_5") - F.col("null_p2_5"), 6).alias("band_width"), "empirical_percentile")
 
 
+def block_sweep(closes: DataFrame, lengths: tuple[int, ...], n_sim: int = B.N_SIM, threshold: int = L.MAIN_THRESHOLD) -> DataFrame:
+    """``sensitivity`` for several lengths of blocks, from one array of steps: each length is a variant of its series."""
+    mark = "\x1f"
+    arrays = B.series_arrays(closes).withColumn("block", F.explode(F.array(*map(F.lit, lengths))))
+    arrays = arrays.withColumn("series_id", F.concat_ws(mark, "series_id", F.concat(F.lit("block "), F.col("block").cast("string"))))
+    null = share_null(B.paths(B.draws(arrays, n_sim, F.col("block"))), threshold).withColumn("variant", F.substring_index("series_id", mark, -1))
+    share = closes.select(F.avg(F.when(L.distance_to_level(F.col("close_price")) <= threshold, 1.0).otherwise(0.0)).alias("value"))
+    observed = share.withColumn("variant", F.explode(F.array(*[F.lit(f"block {n}") for n in lengths])))
+    t = band(null, observed, "variant")
+    return t.select("variant", "null_median", "null_p2_5", "null_p97_5", F.round(F.col("null_p97_5") - F.col("null_p2_5"), 6).alias("band_width"), "empirical_percentile")
+
+
+def range_sample(variables: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(series_id, t, close_price, outcome): closes in order, with each day's Parkinson volatility, without excluded days."""
+    by = [c for c in ("series_id", "trade_date") if c in excluded.columns]
+    kept = variables.where("close_price > 0 and trade_date is not null").join(excluded, by, "left_anti")
+    w = Window.partitionBy("series_id").orderBy("trade_date", "source_row_number")
+    return kept.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("t"), "close_price", F.col("parkinson_volatility").alias("outcome"))
+
+
+def parkinson_robustness(variables: DataFrame, decisions: DataFrame, n_sim: int = B.N_SIM, reinstated: str = "extreme_intraday_range") -> DataFrame:
+    """Near against far with Parkinson volatility, carried through the blocks of the returns, for two samples: without all
+    excluded days, and with those back that the rule ``reinstated`` excluded."""
+    out = None
+    for name, dropped in (("as_is", decisions), ("extreme_dates_reinstated", decisions.where(F.col("rule") != reinstated))):
+        closes = range_sample(variables, excluded_days(dropped))
+        paths = simulate(closes, n_sim, outcome=closes.select("series_id", "t", "outcome"))
+        part = near_far_band(closes, paths, "outcome").withColumn("sample", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def alignment(sample: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """(check_name, passed): yesterday's distance, read from ``sample(series_id, t, close_price, distance)``, stands beside
+    today's outcome: as many as outcomes, the first that of the first close, and each that of the close before."""
+    w = Window.partitionBy("series_id").orderBy("t")
+    before = F.lag("close_price").over(w)
+    outcome = F.abs(F.ln("close_price") - F.ln(before))
+    rows = sample.select("t", F.row_number().over(w).alias("place"), F.lag("distance").over(w).alias("prior"), L.distance_to_level(before).alias("again"), outcome.alias("outcome"))
+    near = F.coalesce(F.abs(F.col("prior") - F.col("again")) <= tolerance, F.lit(False))
+    one = rows.where("place > 1").agg(
+        (F.count("prior") == F.count("outcome")).alias("priors_match_outcomes"),
+        F.coalesce(F.bool_and(F.when(F.col("place") == 2, near)), F.lit(True)).alias("first_prior_is_the_first_distance"),
+        F.coalesce(F.bool_and(near), F.lit(True)).alias("every_prior_is_yesterday_s"),
+    )
+    return _checks(one)
+
+
+def sensitivity_agrees(closes: DataFrame, bands: DataFrame, threshold: int = L.MAIN_THRESHOLD, tolerance: float = 1e-6) -> DataFrame:
+    """(check_name, passed): the share that sensitivity variants compare is the one of the main result."""
+    seen = closes.agg(F.avg(F.when(L.distance_to_level(F.col("close_price")) <= threshold, 1.0).otherwise(0.0)).alias("seen"))
+    main = bands.where(F.col("statistic") == f"prop_distance_le_{threshold}").agg(F.first("empirical").alias("main"))
+    return _checks(seen.crossJoin(main).select(F.coalesce(F.abs(F.col("seen") - F.col("main")) < tolerance, F.lit(False)).alias("sensitivity_observes_the_main_result")))  # one row each
+
+
+def _checks(one: DataFrame) -> DataFrame:
+    return one.selectExpr(f"stack({len(one.columns)}, " + ", ".join(f"'{c}', {c}" for c in one.columns) + ") as (check_name, passed)")
+
+
 def terminals(simulated: DataFrame) -> DataFrame:
     return simulated.groupBy("series_id", "sim").agg(F.max_by("price", "t").alias("terminal"), F.max("price").alias("greatest"), F.avg(F.when(L.distance_to_level(F.col("price")) <= L.MAIN_THRESHOLD, 1.0).otherwise(0.0)).alias("share"))
 

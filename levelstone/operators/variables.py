@@ -130,7 +130,7 @@ def validations(df: DataFrame, source_rows: DataFrame, window: int = BASELINE, s
     later = df.select("series_id", "source_row_number", "log_volume", F.explode(F.sequence(c("trading_index") + 1, c("trading_index") + window)).alias("trading_index"))
     again = later.groupBy("series_id", "trading_index").agg(F.count("log_volume").alias("k"), F.avg("log_volume").alias("expected"))
     held = df.where(c("normal_log_volume_20d_lagged").isNotNull()).select("series_id", "trading_index", "normal_log_volume_20d_lagged").join(again, ["series_id", "trading_index"], "left")
-    right = (c("k") == window) & (F.abs(c("normal_log_volume_20d_lagged") - c("expected")) <= 1e-9)
+    right = (c("k") == window) & (F.abs(c("normal_log_volume_20d_lagged") - c("expected")) <= 1e-12)
     volume = held.agg(F.coalesce(F.bool_and(F.coalesce(right, F.lit(False))), F.lit(True)).alias("volume_20d_baseline_lagged_no_current_or_future"))
     before = df.select("series_id", (c("trading_index") + 1).alias("trading_index"), *[c(s).alias(f"_{s}") for s in STATE_COLUMNS])
     same = F.lit(True)
@@ -143,6 +143,25 @@ def validations(df: DataFrame, source_rows: DataFrame, window: int = BASELINE, s
     return one.selectExpr(f"stack({len(names)}, " + ", ".join(f"'{x}', {x}" for x in names) + ") as (check_name, passed)")
 
 
+WALKTHROUGH = (
+    ("nearest_level", "step * floor(close / step + 0.5)"),
+    ("signed_distance", "close - nearest_level"),
+    ("distance_to_level", "abs(signed_distance)"),
+    ("log_return", "ln(close / close before)"),
+    ("parkinson_variance", "ln(high / low)^2 / (4 ln 2)"),
+    ("log_volume", "ln(1 + volume)"),
+    ("normal_log_volume_20d_lagged", "mean of log_volume over the 20 records before"),
+    ("abnormal_volume_20d", "log_volume - normal_log_volume_20d_lagged"),
+)
+
+
+def walkthrough(df: DataFrame) -> DataFrame:
+    """(place, trade_date, variable, formula, value): every formula worked out for the first record that has them all."""
+    whole = df.where(" and ".join(f"{name} is not null" for name, _ in WALKTHROUGH)).orderBy("series_id", "trading_index").limit(1)
+    rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("variable"), F.lit(f).alias("formula"), F.round(n, 6).alias("value")) for i, (n, f) in enumerate(WALKTHROUGH, 1)])
+    return whole.select("trade_date", F.inline(rows))
+
+
 SAMPLE = (
     ("near_5_below", "near_5 = 1 and side = 'below'"),
     ("near_5_above", "near_5 = 1 and side = 'above'"),

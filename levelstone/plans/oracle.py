@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
-from ..operators.variables import COUNTED, STATE_COLUMNS
-from .dictionary import VARIABLES
-
-#: Simulated paths of the registered simulation queries.
-SIMS = 200
+# Nothing here comes from the engine: names and conditions are written out.
+STATE_COLUMNS = ("nearest_level", "signed_distance", "distance_to_level", "near_2", "near_3", "near_5", "near_10", "side", "side_near_5")
+COUNTED = (*STATE_COLUMNS, "log_return", "abs_log_return", "parkinson_variance", "parkinson_volatility", "log_volume", "normal_log_volume_20d_lagged", "abnormal_volume_20d")
+DICTIONARY = """
+('source_row_number', 'key', 'never'), ('trading_index', 'key', 'never'), ('trade_date', 'key', 'the date can''t be read'),
+('open_price', 'price', 'blank or not a number'), ('high_price', 'price', 'blank or not a number'), ('low_price', 'price', 'blank or not a number'), ('close_price', 'price', 'blank or not a number'),
+('volume_kg_raw', 'volume', 'blank or not a number'),
+('nearest_level', 'level', 'the close is missing'), ('signed_distance', 'level', 'the close is missing'), ('distance_to_level', 'level', 'the close is missing'),
+('near_2', 'state', 'the distance is missing'), ('near_3', 'state', 'the distance is missing'), ('near_5', 'state', 'the distance is missing'), ('near_10', 'state', 'the distance is missing'),
+('side', 'state', 'the distance is missing'), ('side_near_5', 'state', 'never'),
+('prev_close_price', 'return', 'first record'), ('log_return', 'return', 'first record, or a price that isn''t positive'), ('abs_log_return', 'return', 'first record, or a price that isn''t positive'),
+('parkinson_valid_input', 'range', 'never'), ('parkinson_variance', 'range', 'high or low isn''t valid'), ('parkinson_volatility', 'range', 'high or low isn''t valid'),
+('volume_valid_for_log', 'volume', 'never'), ('log_volume', 'volume', 'no trading'), ('volume_history_count_20d_lagged', 'volume', 'never'),
+('normal_log_volume_20d_lagged', 'volume', 'fewer than 20 records with trading before'), ('abnormal_volume_20d', 'volume', 'the volume or its baseline is missing'),
+('nearest_level_lag1', 'state of the record before', 'first record'), ('signed_distance_lag1', 'state of the record before', 'first record'), ('distance_to_level_lag1', 'state of the record before', 'first record'),
+('near_2_lag1', 'state of the record before', 'first record'), ('near_3_lag1', 'state of the record before', 'first record'), ('near_5_lag1', 'state of the record before', 'first record'), ('near_10_lag1', 'state of the record before', 'first record'),
+('side_lag1', 'state of the record before', 'first record'), ('side_near_5_lag1', 'state of the record before', 'first record'),
+('variable_construction_flags', 'quality', 'never')"""
+SAMPLED = (
+    ("near_5_below", "near_5 = 1 AND side = 'below'"),
+    ("near_5_above", "near_5 = 1 AND side = 'above'"),
+    ("at_level", "side = 'at_level'"),
+    ("not_near_5", "near_5 = 0"),
+    ("near_midpoint", "distance_to_level >= 24.5 AND distance_to_level <= 25"),
+    ("positive_abnormal_volume", "abnormal_volume_20d > 0"),
+    ("negative_abnormal_volume", "abnormal_volume_20d < 0"),
+    ("high_parkinson_volatility", "parkinson_volatility IS NOT NULL"),
+    ("low_parkinson_volatility", "parkinson_volatility IS NOT NULL"),
+)
+#: Simulated paths.
+SIMS = 2000
 K = (2, 3, 5, 10)
 
 WALK = """
@@ -180,11 +206,12 @@ def _sens(variant: str, block: int = 20, **options) -> str:
     )
 
 
-def _robust_sample(name: str, lowest: int) -> str:
+def _robust_sample(name: str, dropped: str) -> str:
     return (
         "SELECT * FROM (WITH " + WALK
-        + f""", spreads AS (SELECT date_trunc('hour', ts) AS trade_time, stddev_pop(value) AS spread FROM events GROUP BY 1),
-closes AS (SELECT row_number() OVER (ORDER BY t) - 1 AS t, close_price, round(spread, 6) AS outcome FROM walk JOIN spreads USING (trade_time) WHERE spread >= {lowest}),"""
+        + f""", ends AS (SELECT date_trunc('hour', ts) AS trade_time, avg(value) AS m, max(value) AS hi, min(value) AS lo FROM events GROUP BY 1),
+ranged AS (SELECT t, close_price, ln((close_price * (1 + (hi - m) / 4000)) / (close_price * (1 - (m - lo) / 4000))) AS span FROM walk JOIN ends USING (trade_time)),
+closes AS (SELECT row_number() OVER (ORDER BY t) - 1 AS t, close_price, sqrt(span * span / (4 * ln(2))) AS outcome FROM ranged WHERE NOT ({dropped})),"""
         + paths(closes="closes", outcome=True) + "," + effects("closes", "close_price", "", "outcome", "seen") + "," + effects("paths", "price", "sim", "outcome", "nulls") + "," + band("nulls", "seen", "threshold")
         + f" SELECT threshold, days_near, round(mean_near, 6) AS mean_near, round(mean_far, 6) AS mean_far, empirical, null_median, null_p2_5, null_p97_5, empirical_percentile, two_sided_p, outside_band, n_valid, '{name}' AS sample FROM seen JOIN band USING (threshold))"
     )
@@ -208,7 +235,7 @@ def _validations() -> str:
         "distance_to_level_between_0_and_25": "SELECT coalesce(bool_and(distance_to_level BETWEEN 0 AND 25.0000000001), true) FROM vars",
         "near_threshold_nesting": "SELECT bool_and(coalesce(near_2, 0) <= coalesce(near_3, 0) AND coalesce(near_3, 0) <= coalesce(near_5, 0) AND coalesce(near_5, 0) <= coalesce(near_10, 0)) FROM vars",
         "near_flags_missing_only_when_distance_missing": f"SELECT bool_and({nulls}) AND count(CASE WHEN near_5 = 0 THEN 1 END) > 0 FROM vars",
-        "volume_20d_baseline_lagged_no_current_or_future": "SELECT coalesce(bool_and(k = 20 AND abs(base - e) < 1e-9), true) FROM (SELECT a.trading_index, any_value(a.normal_log_volume_20d_lagged) AS base, count(b.log_volume) AS k, avg(b.log_volume) AS e FROM vars a JOIN vars b ON b.trading_index BETWEEN a.trading_index - 20 AND a.trading_index - 1 WHERE a.normal_log_volume_20d_lagged IS NOT NULL GROUP BY 1)",
+        "volume_20d_baseline_lagged_no_current_or_future": "SELECT coalesce(bool_and(k = 20 AND abs(base - e) <= 1e-12), true) FROM (SELECT a.trading_index, any_value(a.normal_log_volume_20d_lagged) AS base, count(b.log_volume) AS k, avg(b.log_volume) AS e FROM vars a JOIN vars b ON b.trading_index BETWEEN a.trading_index - 20 AND a.trading_index - 1 WHERE a.normal_log_volume_20d_lagged IS NOT NULL GROUP BY 1)",
         "lagged_state_variables_from_previous_row": f"SELECT bool_and({same}) FROM vars a LEFT JOIN vars b ON b.trading_index = a.trading_index - 1",
         "row_count_preserved": "SELECT (SELECT count(*) FROM vars) = (SELECT count(*) FROM raw)",
     }
@@ -216,10 +243,8 @@ def _validations() -> str:
 
 
 def _sample() -> str:
-    from ..operators.variables import SAMPLE
-
     first = {7: "-parkinson_volatility", 8: "parkinson_volatility"}
-    parts = [f"SELECT * FROM (SELECT {i} AS criterion, '{n}' AS sample_reason, *, row_number() OVER (ORDER BY {first.get(i, '0')}, trading_index) AS rn FROM vars WHERE {c})" for i, (n, c) in enumerate(SAMPLE)]
+    parts = [f"SELECT * FROM (SELECT {i} AS criterion, '{n}' AS sample_reason, *, row_number() OVER (ORDER BY {first.get(i, '0')}, trading_index) AS rn FROM vars WHERE {c})" for i, (n, c) in enumerate(SAMPLED)]
     return CLEAN_VARS + f" SELECT sample_reason, trade_date, round(close_price, 6) AS close_price, round(distance_to_level, 6) AS distance_to_level, side, round(parkinson_volatility, 6) AS parkinson_volatility FROM ({' UNION ALL '.join(parts)}) WHERE rn <= 2 ORDER BY criterion, trading_index LIMIT 18"
 
 
@@ -293,7 +318,18 @@ SELECT 'duplicate_dates' AS gate, count(*) AS violations FROM c WHERE parsed_dat
     "validations": _validations(),
     "manual_sample": _sample(),
     "manual_judgment": DIRTY_VARS + " SELECT 'potential_price_break_or_data_gap' AS issue, count(*) AS rows_flagged, 'abs(log_return) > 0.2' AS rule FROM vars WHERE abs_log_return > 0.2 HAVING count(*) > 0",
-    "variable_dictionary": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in v) + ")" for v in VARIABLES) + ") AS v(variable, kind, missing_when)",
+    "variable_dictionary": f"SELECT * FROM (VALUES {DICTIONARY}) AS v(variable, kind, missing_when)",
+    "gate_offenders": "WITH " + DIRTY + """, o AS (SELECT *, last_value(parsed_date IGNORE NULLS) OVER (ORDER BY source_row_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM typed)
+SELECT 'duplicate_dates' AS gate, strftime(parsed_date, '%Y-%m-%d') AS parsed_date, CAST(NULL AS BIGINT) AS source_row_number FROM typed WHERE parsed_date IS NOT NULL GROUP BY parsed_date HAVING count(*) > 1
+UNION ALL SELECT * FROM (SELECT 'dates_not_ascending', strftime(parsed_date, '%Y-%m-%d'), source_row_number FROM o WHERE parsed_date < b ORDER BY source_row_number LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'ohlc_bracket', strftime(parsed_date, '%Y-%m-%d'), source_row_number FROM typed WHERE open_num IS NOT NULL AND close_num IS NOT NULL AND (open_num < low_num OR open_num > high_num OR close_num < low_num OR close_num > high_num OR high_num < low_num) AND high_num IS NOT NULL AND low_num IS NOT NULL ORDER BY source_row_number LIMIT 20)""",
+    "formula_walkthrough": CLEAN_VARS + ", one AS (SELECT * FROM vars WHERE log_return IS NOT NULL AND parkinson_variance IS NOT NULL AND abnormal_volume_20d IS NOT NULL AND nearest_level IS NOT NULL ORDER BY series_id, trading_index LIMIT 1) "
+    + " UNION ALL ".join(f"SELECT trade_date, {i} AS place, '{v}' AS variable, '{f}' AS formula, round({v}, 6) AS value FROM one" for i, (v, f) in enumerate((("nearest_level", "step * floor(close / step + 0.5)"), ("signed_distance", "close - nearest_level"), ("distance_to_level", "abs(signed_distance)"), ("log_return", "ln(close / close before)"), ("parkinson_variance", "ln(high / low)^2 / (4 ln 2)"), ("log_volume", "ln(1 + volume)"), ("normal_log_volume_20d_lagged", "mean of log_volume over the 20 records before"), ("abnormal_volume_20d", "log_volume - normal_log_volume_20d_lagged")), 1)),
+    "stage_checks": NULL_BAND + f""", aligned AS (SELECT t, lag(distance) OVER (ORDER BY t) AS prior, {D.format("lag(close_price) OVER (ORDER BY t)")} AS again, abs(ln(close_price) - ln(lag(close_price) OVER (ORDER BY t))) AS outcome FROM dist)
+SELECT 'priors_match_outcomes' AS check_name, count(prior) = count(outcome) AS passed FROM aligned WHERE t > 0
+UNION ALL SELECT 'first_prior_is_the_first_distance', (SELECT prior FROM aligned WHERE t = 1) = (SELECT distance FROM dist WHERE t = 0)
+UNION ALL SELECT 'every_prior_is_yesterday_s', bool_and(abs(prior - again) <= 1e-8) FROM aligned WHERE t > 0
+UNION ALL SELECT 'sensitivity_observes_the_main_result', abs((SELECT avg(CASE WHEN distance <= 5 THEN CAST(1 AS DOUBLE) ELSE 0 END) FROM dist) - (SELECT empirical FROM band WHERE statistic = 'prop_distance_le_5')) < 1e-6""",
     "bootstrap_draws": _SIM + " SELECT sim, t, round(step, 6) AS step FROM paths_draws",
     "bootstrap_paths": _SIM + " SELECT sim, t, round(price, 4) AS price FROM paths",
     "occupancy_null": _SIM + "," + null_stats() + " SELECT sim, statistic, round(value, 6) AS value FROM null_stats",
@@ -308,7 +344,7 @@ seen AS (SELECT CAST(i AS INTEGER) AS bin, (SELECT count(*) FROM dist WHERE leas
     "centre_table": NULL_BAND + """, m AS (SELECT *, (SELECT count(*) FROM dist) AS n, sqrt(CAST(625 AS DOUBLE) / 12 / (SELECT count(*) FROM dist)) AS iid, (null_p97_5 - null_p2_5) / CAST(3.92 AS DOUBLE) AS s FROM band WHERE statistic = 'mean_distance')
 SELECT 'uniform iid benchmark' AS reference, round(CAST(12.5 AS DOUBLE), 4) AS centre, round(12.5 - CAST(1.96 AS DOUBLE) * iid, 4) AS lower_95, round(12.5 + CAST(1.96 AS DOUBLE) * iid, 4) AS upper_95, round(empirical - 12.5, 4) AS difference, round((empirical - 12.5) / iid, 4) AS z FROM m
 UNION ALL SELECT 'bootstrap null', round(null_median, 4), round(null_p2_5, 4), round(null_p97_5, 4), round(empirical - null_median, 4), round((empirical - null_median) / s, 4) FROM m""",
-    "parkinson_robustness": _robust_sample("as_is", 0) + " UNION ALL " + _robust_sample("without_flat_hours", 12),
+    "parkinson_robustness": _robust_sample("as_is", "(t + 2) % 40 = 7 OR (t + 2) % 90 = 65") + " UNION ALL " + _robust_sample("extreme_dates_reinstated", "(t + 2) % 90 = 65 AND (t + 2) % 40 <> 7"),
     "sens_block_length": " UNION ALL ".join(_sens(f"block {b}", b) for b in (5, 20, 50, 100)),
     "sens_additive": _sens("additive", kind="absolute"),
     "sens_jitter": _sens("jittered start", start="(s.start_price + ((d.sim * 7919 + 12345) % 10007) / CAST(10007 AS DOUBLE) * 50)"),

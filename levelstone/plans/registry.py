@@ -10,7 +10,7 @@ from ..functions.stats import robust_z as robust
 from ..operators import audit, bootstrap, dataset, diagnostics, distribution, inference, variables
 from ..sources import bars
 from .dictionary import VARIABLES
-from .oracle import SIMS, SQL
+from .oracle import SQL
 
 QUERIES: dict = {}
 
@@ -20,16 +20,6 @@ def query(f):
     return f
 
 
-def simulated(f):
-    """Registers a simulation query with the paths of its SQL, and as ``..._full``, without SQL, with the reference's."""
-
-    def full(spark, d):
-        return f(spark, d, bootstrap.N_SIM)
-
-    QUERIES[f"{f.__name__}_full"] = full
-    return query(f)
-
-
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -55,7 +45,7 @@ def _found(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return null_band(spark, sf_dir, bootstrap.N_SIM)
+    return null_band(spark, sf_dir)
 
 
 # variables
@@ -317,6 +307,16 @@ def gate_report(spark, d):
     return audit.gate_report(bars.dirty_raw(spark, d))
 
 
+@query
+def gate_offenders(spark, d):
+    return audit.gate_offenders(bars.dirty_raw(spark, d)).select("gate", "parsed_date", "source_row_number")
+
+
+@query
+def formula_walkthrough(spark, d):
+    return variables.walkthrough(_vars(spark, d))
+
+
 @query
 def validations(spark, d):
     raw = bars.dirty_raw(spark, d)
@@ -342,37 +342,29 @@ def variable_dictionary(spark, d):
 # simulation and inference
 
 
-@simulated
-def bootstrap_draws(spark, d, n_sim=SIMS):
+@query
+def bootstrap_draws(spark, d, n_sim=bootstrap.N_SIM):
     drawn = bootstrap.draws(bootstrap.series_arrays(bars.walk_bars(spark, d)), n_sim)
     return _rounded(drawn.select("sim", "t", "step"))
 
 
-@simulated
-def bootstrap_paths(spark, d, n_sim=SIMS):
+@query
+def bootstrap_paths(spark, d, n_sim=bootstrap.N_SIM):
     return _rounded(_paths(spark, d, n_sim).select("sim", "t", "price"), 4)
 
 
 @query
-def bootstrap_numpy(spark, d):
-    walk = bars.walk_bars(spark, d)
-    n = walk.count() - 1
-    starts = bootstrap.numpy_starts(spark, n, n, bootstrap.N_SIM)
-    return _rounded(inference.null_band(inference.occupancy_null(inference.simulate(walk, bootstrap.N_SIM, starts=starts)), _walk(spark, d)))
-
-
-@simulated
-def occupancy_null(spark, d, n_sim=SIMS):
+def occupancy_null(spark, d, n_sim=bootstrap.N_SIM):
     return _rounded(inference.occupancy_null(_paths(spark, d, n_sim)).select("sim", "statistic", "value"))
 
 
-@simulated
-def null_band(spark, d, n_sim=SIMS):
+@query
+def null_band(spark, d, n_sim=bootstrap.N_SIM):
     return inference.null_band(inference.occupancy_null(_paths(spark, d, n_sim)), _walk(spark, d))
 
 
-@simulated
-def bin_band(spark, d, n_sim=SIMS):
+@query
+def bin_band(spark, d, n_sim=bootstrap.N_SIM):
     sample = _walk(spark, d)
     return inference.bin_band(_paths(spark, d, n_sim), distribution.distance_bins(sample).select("bin", "observations"), sample.agg(F.count("distance").alias("n")))
 
@@ -382,71 +374,62 @@ def near_far_effect(spark, d):
     return _rounded(inference.near_far_effect(bars.walk_bars(spark, d)), 8)
 
 
-@simulated
-def near_far_null(spark, d, n_sim=SIMS):
+@query
+def near_far_null(spark, d, n_sim=bootstrap.N_SIM):
     return _rounded(inference.near_far_null(_paths(spark, d, n_sim)), 8)
 
 
-@simulated
-def near_far_band(spark, d, n_sim=SIMS):
+@query
+def near_far_band(spark, d, n_sim=bootstrap.N_SIM):
     return inference.near_far_band(bars.walk_bars(spark, d), _paths(spark, d, n_sim))
 
 
-@simulated
-def power_analysis(spark, d, n_sim=SIMS):
+@query
+def power_analysis(spark, d, n_sim=bootstrap.N_SIM):
     return inference.power(null_band(spark, d, n_sim), "statistic")
 
 
-@simulated
-def centre_table(spark, d, n_sim=SIMS):
+@query
+def centre_table(spark, d, n_sim=bootstrap.N_SIM):
     return inference.centre_table(null_band(spark, d, n_sim), _walk(spark, d).agg(F.count("distance").alias("n")))
 
 
-def _ranges(spark, d, lowest: float = 0.0):
-    """A range measure for every hour of the walk: the spread of event values."""
-    hours = bars.read_table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("trade_time")).agg(F.stddev_pop("value").alias("spread"))
-    w = bars.walk_bars(spark, d).join(hours, "trade_time")
-    return w.where(F.col("spread") >= lowest).select("series_id", F.row_number().over(bars.Window.partitionBy("series_id").orderBy("t")).cast("long").alias("t"), "close_price", F.round("spread", 6).alias("outcome"))
+@query
+def parkinson_robustness(spark, d, n_sim=bootstrap.N_SIM):
+    """Parkinson volatility after near and far days, with and without the days of extreme ranges."""
+    walk = bars.walk_days(spark, d)
+    return inference.parkinson_robustness(variables.construct_variables(walk), bars.walk_decisions(walk), n_sim)
 
 
-@simulated
-def parkinson_robustness(spark, d, n_sim=SIMS):
-    """The outcome carried through the same blocks as the returns, for two samples."""
-    out = None
-    for name, lowest in (("as_is", 0.0), ("without_flat_hours", 12.0)):
-        closes = _ranges(spark, d, lowest).select("series_id", (F.col("t") - 1).alias("t"), "close_price", "outcome")
-        paths = inference.simulate(closes, n_sim, outcome=closes.select("series_id", "t", "outcome"))
-        part = inference.near_far_band(closes, paths, "outcome").withColumn("sample", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+@query
+def stage_checks(spark, d, n_sim=bootstrap.N_SIM):
+    """Alignment of yesterday's distances, and of sensitivity with the main result."""
+    walk = _walk(spark, d)
+    return inference.alignment(walk).unionByName(inference.sensitivity_agrees(walk, null_band(spark, d, n_sim)))
 
 
-@simulated
-def sens_block_length(spark, d, n_sim=SIMS):
-    out = None
-    for block in (5, 20, 50, 100):
-        part = inference.sensitivity(bars.walk_bars(spark, d), _paths(spark, d, n_sim, block=block), f"block {block}")
-        out = part if out is None else out.unionByName(part)
-    return out
+@query
+def sens_block_length(spark, d, n_sim=bootstrap.N_SIM):
+    return inference.block_sweep(bars.walk_bars(spark, d), (5, 20, 50, 100), n_sim)
 
 
-@simulated
-def sens_additive(spark, d, n_sim=SIMS):
+@query
+def sens_additive(spark, d, n_sim=bootstrap.N_SIM):
     return inference.sensitivity(bars.walk_bars(spark, d), _paths(spark, d, n_sim, kind="absolute"), "additive")
 
 
-@simulated
-def sens_jitter(spark, d, n_sim=SIMS):
+@query
+def sens_jitter(spark, d, n_sim=bootstrap.N_SIM):
     return inference.sensitivity(bars.walk_bars(spark, d), _paths(spark, d, n_sim, offset=bootstrap.jitter(F.col("sim"))), "jittered start")
 
 
-@simulated
-def terminal_prices(spark, d, n_sim=SIMS):
+@query
+def terminal_prices(spark, d, n_sim=bootstrap.N_SIM):
     return inference.terminal_prices(_paths(spark, d, n_sim), 300.0)
 
 
-@simulated
-def terminal_corr(spark, d, n_sim=SIMS):
+@query
+def terminal_corr(spark, d, n_sim=bootstrap.N_SIM):
     return inference.terminal_corr(_paths(spark, d, n_sim))
 
 

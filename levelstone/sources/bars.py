@@ -28,6 +28,24 @@ def walk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("t"), "trade_time", price.alias("close_price"))
 
 
+def walk_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk as daily bars, one day for each of its hours: highs and lows from the hour's events, volume their number."""
+    hours = read_table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("trade_time")).agg(F.avg("value").alias("m"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.count("*").cast("double").alias("volume_kg_raw"))
+    rows = walk_bars(spark, sf_dir).join(hours, "trade_time")
+    c = F.col("close_price")
+    high, low = c * (1 + (F.col("hi") - F.col("m")) / 4000.0), c * (1 - (F.col("m") - F.col("lo")) / 4000.0)
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("t").cast("int"))
+    return rows.select("series_id", day.alias("trade_date"), (F.col("t") + 2).alias("source_row_number"), c.alias("open_price"), high.alias("high_price"), low.alias("low_price"), "close_price", "volume_kg_raw")
+
+
+def walk_decisions(walk: DataFrame) -> DataFrame:
+    """Days of the walk that are excluded, by series: some for an extreme range, some as placeholders."""
+    n = F.col("source_row_number")
+    rule = F.when(n % 40 == 7, "extreme_intraday_range").when(n % 90 == 65, "zero_volume_kg")
+    rows = walk.select("series_id", F.date_format("trade_date", "yyyy-MM-dd").alias("date"), rule.alias("rule")).where("rule is not null")
+    return rows.withColumns({"disposition": F.lit("exclude"), "reason": F.lit("planted"), "reviewer": F.lit("reviewer"), "decided_on": F.lit("2026-01-01")})
+
+
 def orders_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekday bars from orders: first and last price of a day by order key, in thousands, and the number of orders."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("trade_date"), (F.floor(F.col("o_totalprice") / 10) / 100).alias("price"))

@@ -72,13 +72,28 @@ def point_lookup(df: DataFrame, key: str, value) -> dict | None:
 
 
 def digest(spark: SparkSession, path: str) -> dict:
-    """SHA-256 and size of a file."""
-    r = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).first()
-    return {"sha256": r.sha256, "bytes": r.bytes}
+    """SHA-256 and size of a file of any size, streamed in chunks of 1 MiB."""
+    fs, p = _fs(spark, path)
+    jvm = spark._jvm
+    sha = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    source = jvm.java.security.DigestInputStream(fs.open(p), sha)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, jvm.java.io.OutputStream.nullOutputStream(), 1 << 20, True)
+    return {"sha256": bytes(sha.digest()).hex(), "bytes": fs.getFileStatus(p).getLen()}
+
+
+def relative_path(path: str, root: str) -> str:
+    """``path`` below ``root``, with slashes; the path itself where it lies elsewhere."""
+    a, b = (x.replace("\\", "/").rstrip("/") for x in (path, root))
+    return a[len(b) + 1 :] if b and a.startswith(b + "/") else a
+
+
+def print_summary(value: dict) -> None:
+    """A result as JSON on standard output, for callers that read it there."""
+    print(json.dumps(value, ensure_ascii=False, indent=2, default=str))
 
 
-def manifest(spark: SparkSession, path: str, rows: int) -> dict:
-    return {"path": path.rsplit("/", 1)[-1], **digest(spark, path), "n_rows": rows, "audit_run_utc": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")}
+def manifest(spark: SparkSession, path: str, rows: int, root: str | None = None) -> dict:
+    return {"path": relative_path(path, root) if root else path.rsplit("/", 1)[-1], **digest(spark, path), "n_rows": rows, "audit_run_utc": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")}
 
 
 def check_manifest(spark: SparkSession, path: str, manifest_path: str) -> list[str]:

@@ -264,3 +264,96 @@ def test_empty_series(spark):
     assert audit.anomalies(none).count() == 0 and variables.construct_variables(audit.typed_bars(none)).count() == 0
     assert audit.rule_counts(audit.anomalies(none)).count() == 0 and diagnostics.gap_distribution(none).count() == 0
     assert inference.simulate(closes(spark, []), 3).count() == 0
+
+
+def test_gates_name_their_offenders(spark):
+    from levelstone.operators import audit
+
+    rows = [("a", i, f"2020-01-{d:02d}", "10", "12", "9", c, "5") for i, (d, c) in enumerate([(1, "10"), (2, "10"), (2, "11"), (1, "10"), (5, "30")], 2)]
+    rows += [("b", 2, "2020-01-01", "10", "12", "9", "11", "5")]
+    raw = spark.createDataFrame(rows, "series_id string, source_row_number long, date string, open string, high string, low string, close string, volume_kg string")
+    got = sorted(tuple(r) for r in audit.gate_offenders(raw).collect() if r.source_row_number is not None)
+    assert got == [("dates_not_ascending", "a", "2020-01-01", 5), ("ohlc_bracket", "a", "2020-01-05", 6)]
+    assert {(r.series_id, r.parsed_date) for r in audit.gate_offenders(raw).where("gate = 'duplicate_dates'").collect()} == {("a", "2020-01-01"), ("a", "2020-01-02")}
+    with pytest.raises(ValueError, match=r"2020-01-05 \(row 6\)"):
+        audit.check_gates(raw)
+    audit.check_gates(raw.where("series_id = 'b'"))
+
+
+def test_decisions_of_one_series_leave_others(spark):
+    from levelstone.operators import audit, dataset
+
+    days = spark.createDataFrame([(s, d) for s in "ab" for d in ("2020-01-01", "2020-01-02")], "series_id string, day string").selectExpr("series_id", "to_date(day) as trade_date", "'x' as variable_construction_flags")
+    one = spark.createDataFrame([("a", "2020-01-01", "r", "exclude"), ("b", "2020-01-09", "r", "keep")], "series_id string, date string, rule string, disposition string")
+    kept = dataset.analysis_dataset(days, one).collect()
+    assert sorted((r.series_id, str(r.trade_date)) for r in kept) == [("a", "2020-01-02"), ("b", "2020-01-01"), ("b", "2020-01-02")]
+    assert dataset.analysis_dataset(days, one.drop("series_id")).count() == 2
+    assert [tuple(r) for r in dataset.orphans(one, days).collect()] == [("b", "2020-01-09", "r")]
+    assert [(r.series_id, r.rows_removed) for r in dataset.excluded_counts(one, days).collect()] == [("a", 1)]
+    found = spark.createDataFrame([("a", "2020-01-01", "x"), ("b", "2020-01-01", "x")], "series_id string, parsed_date string, rule string")
+    assert [(r.series_id, r.date) for r in audit.pending_review(found, one).collect()] == [("b", "2020-01-01")]
+
+
+def test_alignment_notices_today_s_distance(spark):
+    from levelstone.operators import inference
+
+    closes = [("s", i, p) for i, p in enumerate([101.0, 126.0, 148.0, 160.0])]
+    good = spark.createDataFrame(closes, "series_id string, t long, close_price double").selectExpr("*", "abs(close_price - 50 * floor(close_price / 50 + 0.5)) as distance")
+    assert all(r.passed for r in inference.alignment(good).collect())
+    shifted = good.selectExpr("series_id", "t", "close_price", "lead(distance) over (order by t) as distance")
+    assert not all(r.passed for r in inference.alignment(shifted).collect())
+    bands = spark.createDataFrame([("prop_distance_le_5", 0.25)], "statistic string, empirical double")
+    assert [r.passed for r in inference.sensitivity_agrees(good, bands).collect()] == [False]
+    assert [r.passed for r in inference.sensitivity_agrees(good, bands.withColumn("empirical", bands.empirical * 2)).collect()] == [True]
+
+
+def test_reports_charts_and_paths(spark, tmp_path, capsys):
+    import hashlib
+    import json
+    from xml.dom import minidom
+
+    from levelstone.operators import dataset, narrative
+    from levelstone.sources import charts, files
+
+    big = tmp_path / "big.bin"
+    big.write_bytes(bytes(range(256)) * 20_000)
+    assert files.digest(spark, str(big)) == {"sha256": hashlib.sha256(big.read_bytes()).hexdigest(), "bytes": 5_120_000}
+    assert files.relative_path("/a/b/c.csv", "/a/") == "b/c.csv" and files.relative_path("/x/c.csv", "/a") == "/x/c.csv"
+    assert files.manifest(spark, str(big), 3, root=str(tmp_path.parent))["path"] == f"{tmp_path.name}/big.bin"
+    files.print_summary({"rows": 3})
+    assert json.loads(capsys.readouterr().out) == {"rows": 3}
+    with pytest.raises(FileNotFoundError):
+        dataset.load_decisions(spark, str(tmp_path / "none.csv"))
+    (tmp_path / "some.csv").write_text("date,rule\n2020-01-01,x\n")
+    with pytest.raises(ValueError):
+        dataset.load_decisions(spark, str(tmp_path / "some.csv"))
+    (tmp_path / "typed.csv").write_text("d,x\n2020-01-01,1.5\nbad,y\n")
+    typed = files.read_typed_csv(spark, str(tmp_path / "typed.csv"), "d date, x double").collect()
+    assert [(str(r.d), r.x) for r in typed] == [("2020-01-01", 1.5), ("None", None)]
+
+    kinds = "double empirical, double null_median, double null_p2_5, double null_p97_5, double two_sided_p, boolean outside_band"
+    kinds = ", ".join(f"{c.split()[1]} {c.split()[0]}" for c in kinds.split(", "))
+    bands = spark.createDataFrame([("mean_distance", 12.0, 12.4, 10.4, 14.4, 0.69, False), ("prop_distance_le_5", 0.1, 0.2, 0.12, 0.29, 0.01, True)], "statistic string, " + kinds)
+    bins = spark.createDataFrame([(i, f"[{i},{i + 1})", 0.04, 0.04, 0.01 * i, 0.06, i > 4) for i in range(25)], "bin int, label string, empirical double, null_median double, null_p2_5 double, null_p97_5 double, below_band boolean")
+    text = narrative.occupancy(bands, bins)
+    assert "prop_distance_le_5" in text and "0 lie under" in text and "p = 0.69" in text
+    assert "inside the null" in narrative.occupancy(bands.where("not outside_band"), bins)
+    near = spark.createDataFrame([(5, 7, 0.1, 0.2, 0.05, 0.3, 0.4, False)], "threshold int, days_near long, " + kinds)
+    assert "lower" not in narrative.proximity(near) and "which the null allows" in narrative.proximity(near)
+    variants = spark.createDataFrame([("block 5", 50.0), ("additive", 99.0)], "variant string, empirical_percentile double")
+    assert "1 of 2 variants: additive" in narrative.sensitivity(variants)
+    for svg in (charts.histogram(bins, "label", "empirical", "Distance <bins>", mark=3.0), charts.null_band(bins, "Band"), charts.histogram(bins.where("false"), "label", "empirical", "none")):
+        assert minidom.parseString(svg).documentElement.tagName == "svg"
+
+
+def test_offsets_come_after_the_starts(spark):
+    from levelstone.operators import bootstrap
+
+    plain = np.random.default_rng(7)
+    starts = plain.integers(0, 100 - 20 + 1, size=(4, 5))
+    got = sorted(bootstrap.numpy_starts(spark, 100, 100, 4, 20, 7, width=50.0).collect())
+    assert [r.starts for r in got] == starts.tolist() and np.allclose([r.offset for r in got], plain.uniform(0, 50, 4))
+    closes = spark.createDataFrame([("s", i, 300.0 + i % 7) for i in range(101)], "series_id string, t long, close_price double")
+    drawn = bootstrap.draws(bootstrap.series_arrays(closes), 4, 20, bootstrap.numpy_starts(spark, 100, 100, 4, 20, 7, width=50.0))
+    first = {r.sim: r.price for r in bootstrap.paths(drawn).where("t = 0").collect()}
+    assert first == pytest.approx({r.sim: 300.0 + r.offset for r in got})
