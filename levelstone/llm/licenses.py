@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-# Spellings that mean the same, applied in this order to lower-case text.
+# Spellings that mean the same, applied in this order to lower-case text. Rules of endings also meet words
+# that have one spelling; these change alike in every text.
 EQUIVALENT = (
     ("licence", "license"),
     ("sub-license", "sublicense"),
@@ -21,6 +22,23 @@ EQUIVALENT = (
     ("copyright owner", "copyright holder"),
     ("&", " and "),
     ("https://", "http://"),
+    ("practise", "practice"),
+    ("programme", "program"),
+    ("artefact", "artifact"),
+    ("whilst", "while"),
+    ("wilful", "willful"),
+    ("offence", "offense"),
+    ("fulfill", "fulfil"),
+    ("centre", "center"),
+    ("dgement", "dgment"),
+    ("isation", "ization"),
+    ("ising", "izing"),
+    ("ise", "ize"),
+    ("yse", "yze"),
+    ("our", "or"),
+    ("ogue", "og"),
+    ("elled", "eled"),
+    ("elling", "eling"),
 )
 #: Words after "copyright" in the body of a licence, whose lines may begin with it; anything else there is a name.
 BODY_WORDS = "notices? holders? owners? licen[cs]e[sd]? laws? interests? rights? protections? treaty treaties act statements? status permissions? ownership infringements? disclaimers? terms? on in of or and is are to that which this for from as at under with shall may does has if where".split()
@@ -51,6 +69,8 @@ NAMES = {
     "CC-BY-ND-4.0": ("CC BY-ND 4.0", "CC-BY-ND-4.0"),
     "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
 }
+#: Titles of whole licences that have no notices here.
+TITLES = {"MIT-0": ("MIT No Attribution",), "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",)}
 NOTICES = ("Released under the {}", "Released under {}", "Licensed under the {}", "Licensed under {}", "This work is licensed under the {}", "This work is licensed under {}", "Distributed under the {}", "SPDX-License-Identifier: {}", "License: {}")
 #: Whole licences, in their published wording.
 TEXTS = {
@@ -70,6 +90,15 @@ _BSD = (
 MORE_TEXTS = {
     "BSD-2-Clause": (_BSD[:3], _BSD[4:]),
     "BSD-3-Clause": (_BSD[:4], _BSD[4:]),
+    "MIT-0": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.',
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    "BSL-1.0": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+        'The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
     "Unlicense": (
         'This is free and unencumbered software released into the public domain.',
         'Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.',
@@ -80,12 +109,19 @@ MORE_TEXTS = {
 }
 #: Canonical digests of longer licences as published, with and without their appendix.
 DIGESTS: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("4225605d4c3647ef2075217a0d52c9ca", "2f973fce6821968caa77d834b80cee7c", "a90697331248535821cbca3716b02146"),
-    "GPL-2.0": ("5e39ace6e62f5a7fe9c17b4da986ad8c", "68380dbeadb093b94ecf563db7312db7", "f2c06efe640b4a281cbe5337cdde80ab"),
-    "GPL-3.0": ("b79359b5e391fd47146ff34ae3db7ec0", "444f95dc767ede978b60cfb20fbd0bca", "17e434cc6db7003444b088cb4cc81e91"),
-    "LGPL-3.0": ("b31b7335bc37919e8cdd79154e04d88d",),
-    "MPL-2.0": ("7d4b8b0889da3c01eff3fe431102e6d6",),
-    "CC0-1.0": ("93a180096f6cfcf2c0dd24f75c2eec48",),
+    "Apache-2.0": ("50e1d5338c2c42b663c3fac0bc6a8967", "819af0a480f50492ffe44eafbf182b09", "3e4fa086bb91dd583d8d751195b91bb3"),
+    "GPL-1.0": ("039f5affadd410e782b7f2ebea3b11f3", "d54db6ff1e83a0c065a3553955a86941", "8ad615f420ea4f07e94a5236b0c01f8b"),
+    "GPL-2.0": ("ae45f31bd111cbc3541cb4a1cf209ad2", "5f731dfe1fc525f3e0e5352abf2f78dd", "4434c055a8217c7afbf9e21c55253575"),
+    "GPL-3.0": ("eb622f7258dfb2d0dd1d099c941d3dae", "0b2f368a104e9810517876ddecfa28a2", "b600c3da5652879090f8055db7871e2a"),
+    "LGPL-2.0": ("2502b7c9cff1c750a56257ed8f3531e4", "beec3b21fb96d37235311c6170698807", "c62109dccf88e7db8101ee5895c6b94a"),
+    "LGPL-2.1": ("5a43736f73b55639d3f6a0205338f29a", "b56c9ae8d074ba49d4be1baae53b30b9", "3353ffcdcbc3c3403b7c3bbb4e627121"),
+    "LGPL-3.0": ("d778e9f82dc6308ebab34894943a3c3c",),
+    "MPL-1.1": ("2dd27207749a4d601b1699b84bedb715",),
+    "MPL-2.0": ("8ea9c1a128d0f053e5672e6458a1aefd",),
+    "CC0-1.0": ("1d015b476c495ce9fd3c17ca84d87272",),
+    "GFDL-1.2": ("305132a26137dacffc5f3333ed9194e4", "ede4dcb965ba933aef7ec1ecd752f800"),
+    "GFDL-1.3": ("5bbcc3f4f4225b2b1437b44633fc1432", "5b290f25bd7f4bde5596e7bb95f82797"),
+    "Artistic-1.0": ("60bd2676ac850a1ed078c628b11fda2c",),
 }
 #: Known digests are a list of licences, not of data; more than this many are joined without a broadcast.
 BROADCAST_LICENSES = 100_000
@@ -102,12 +138,12 @@ def more_texts() -> list[tuple[str, str]]:
     """(licence, text) of MORE_TEXTS, with and without title, clauses numbered or not."""
     out = []
     for k, parts in MORE_TEXTS.items():
-        if k == "Unlicense":
+        if not k.startswith("BSD"):
             bodies = ["\n".join(parts)]
         else:
             (first, *clauses), rest = parts
             bodies = ["\n".join([first, *(f"{i}. {c}" if numbered else c for i, c in enumerate(clauses, 1)), *rest]) for numbered in (True, False)]
-        out += [(k, b) for b in bodies] + [(k, f"{NAMES[k][0]}\n{b}") for b in bodies]
+        out += [(k, b) for b in bodies] + [(k, f"{title}\n{b}") for title in TITLES.get(k) or NAMES[k][:1] for b in bodies]
     return out
 
 
@@ -139,13 +175,14 @@ def known_digests(spark: SparkSession, licenses: list[tuple[str, str]] | None =
 
 
 def license_scan(docs: DataFrame, licenses: list[tuple[str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs`` with a doc_id: doc_id, digest, license_id, n_license_lines, line_licenses.
+    """One row for each different doc_id of ``docs``, null among them: doc_id, digest, license_id, n_license_lines, line_licenses.
 
     ``license_id`` is the licence that the whole text is, else null. ``n_license_lines`` counts lines that are a known
     licence or notice; ``line_licenses`` names them, distinct, in order and joined by commas, empty if there is none.
-    Null and empty texts have the digest of the empty text and no licence. Rows of one doc_id with one text, and rows of
-    one doc_id in general, make one row: the least digest, the least licence, all their lines. Rows with a null doc_id
-    are taken together as one. An empty table gives an empty result. Other columns are not read.
+    Null and empty texts have the digest of the empty text and no licence. Rows of one doc_id, repeated or not, make one
+    row: the least digest, the least licence, all their lines; so do rows with a null doc_id. Of licences with one
+    canonical text, the first by name counts. Texts and lines of any length are taken whole. An empty table gives an empty
+    result. Other columns are not read.
     """
     spark = docs.sparkSession
     known = known_digests(spark, licenses)
