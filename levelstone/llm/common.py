@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import ctypes
 import os
 import sys
@@ -38,7 +37,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
     sc.addPyFile(name)
-    atexit.register(contextlib.suppress(OSError)(os.remove), name)  # the driver serves it as long as it lives
+    atexit.register(Path(name).unlink, missing_ok=True)  # the driver serves it as long as it lives
     _SHIPPED.add(sc.applicationId)
 
 

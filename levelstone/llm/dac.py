@@ -229,7 +229,8 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id
             yield segment()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # a null or a repeated doc_id spreads by the beginnings of its texts
+    rows = rows.repartitionByRange(partitions(spark), "doc_id", F.substring("text", 1, 24)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(released(run), _SEGMENT).write.mode("overwrite").parquet(path)
 
 
@@ -261,7 +262,12 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFram
 
 
 def token_index(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Write ids and read them back: one row for each row of ``docs``. See ``write_ids`` and ``read_ids``."""
+    """Write ids and read them back: doc_id, start, n_tokens, ids_crc32 for each row of ``docs``.
+
+    Null and empty texts have the end id alone. Rows with a null doc_id come first, under a null doc_id; rows of one
+    doc_id follow their text, and equal rows have an entry each. Texts of any length are encoded whole. An empty table gives
+    no rows. Other columns are not read. See ``write_ids`` and ``read_ids``.
+    """
     spark = docs.sparkSession
     path = path or Scratch(spark, "token-ids").path("segments")
     write_ids(docs, vocabulary, path, doc_id, text)

@@ -274,7 +274,7 @@ def packets(stored: DataFrame, key: str = "doc_id", media: str = "media") -> Dat
 
 
 def features_of(media: Media, samples: np.ndarray) -> str:
-    """Counts of the container and a few measures of the samples, from the bytes read back."""
+    """Counts of the container and a few measures of the samples, from the bytes read back; those of no samples are 0."""
     x = samples.astype(np.int64) - 128
     n = max(1, len(x))
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
@@ -283,7 +283,12 @@ def features_of(media: Media, samples: np.ndarray) -> str:
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Rows of ``store`` read back through the packet table: payload, its digests and features."""
+    """Rows of ``store`` read back through the packet table: payload, its digests and features, one row for each stored one.
+
+    Null and empty texts have a payload of ``ALIGN`` zero bytes; equal texts, equal values; a null doc_id stays null; repeated
+    rows stay repeated; an empty table gives no rows. A file that can't be read is an error, since ``store`` wrote it;
+    ``packets`` reports such files as rows.
+    """
     ship(stored.sparkSession)
 
     def run(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, dac, licenses, matroska, minhash, mixing, mtree, quality, secrets, suffixes
 from .common import table
@@ -37,13 +38,8 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, in the order of training."""
-    return mixing.mix(table(spark, sf_dir, "documents"), schedule=mixing.CURRICULUM).select("doc_id", "size", "source_size", "target", "taken")
-
-
-def op6_source_mixing_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same mix with its sources and training positions, which the SQL of op6_source_mixing doesn't have."""
-    return mixing.mix(table(spark, sf_dir, "documents"), schedule=mixing.CURRICULUM)
+    """The contract's columns, sources and training positions (to nine digits, as the SQL has them), in the order of training."""
+    return mixing.mix(table(spark, sf_dir, "documents"), schedule=mixing.CURRICULUM).withColumn("position", F.round("position", 9))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +48,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), dictionary=vocabulary_path())
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +59,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_token_ids, op6_source_mixing, op6_source_mixing_positions, op7_quality_classifier, op8_secret_scan, op9_media_columns, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_token_ids, op6_source_mixing, op7_quality_classifier, op8_secret_scan, op9_media_columns, op10_top_k)}
 
 
 def _quoted(s: str) -> str:
@@ -116,11 +112,15 @@ filled AS (SELECT *,
   sum(CAST(source_size AS DOUBLE)) OVER () AS total, sum(weight) OVER () AS weights
   FROM weighed WINDOW before AS (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, (total - capped) / (weights - spent) AS level FROM filled),
-targets AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce((SELECT min_by(level, capped) FROM levels WHERE cap > level * weight) * weight, cap)) END AS target FROM levels),
-placed AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS turns,
+targets AS (SELECT source, source_size, CAST(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS BIGINT) % 3 AS turn, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce((SELECT min_by(level, capped) FROM levels WHERE cap > level * weight) * weight, cap)) END AS target FROM levels),
+placed AS (SELECT doc_id, d.source AS source, size, source_size, target, turn, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS turns,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(turns * size + greatest(0, least(size, floor(target - turns * source_size) - start)) AS BIGINT) AS taken FROM placed"""
+dealt AS (SELECT *, floor(target - turns * source_size) AS over, CAST(turns * size + greatest(0, least(size, floor(target - turns * source_size) - start)) AS BIGINT) AS taken FROM placed),
+shared AS (SELECT *, least(CAST(1 AS DOUBLE), (turns * start + least(start, over) + taken / CAST(2 AS DOUBLE)) / greatest(target, CAST(1 AS DOUBLE))) AS share FROM dealt)
+SELECT doc_id, source, size, source_size, CAST(target AS DOUBLE) AS target, taken,
+  CASE WHEN taken > 0 THEN round(CASE turn WHEN 0 THEN (CAST(1.75 AS DOUBLE) - sqrt(greatest(CAST(0 AS DOUBLE), CAST(3.0625 AS DOUBLE) - 3 * share))) / CAST(1.5 AS DOUBLE) WHEN 1 THEN share ELSE (sqrt(CAST(0.0625 AS DOUBLE) + 3 * share) - CAST(0.25 AS DOUBLE)) / CAST(1.5 AS DOUBLE) END, 9) END AS position
+FROM shared"""
 
 _OP10_SQL = f"""
 WITH raw AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),

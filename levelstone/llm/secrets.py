@@ -1,16 +1,19 @@
 """Secret scans: wide patterns find candidates, and a random forest removes the false positives.
 
 The forest sees a candidate's length, how usual its character transitions are in words, how much of it dictionary words
-cover, its entropy and classes of characters, the path it was found under and the words around it. It is trained here
-from labelled findings: ``labelled_findings`` writes a stated number of them by rule, and a caller may pass its own.
+cover, its entropy and classes of characters, the path it was found under and the words around it. The dictionary is read
+from a vocabulary file, whose path is a parameter: its tokens that are whole words. The forest is trained here from
+labelled findings: ``labelled_findings`` writes a stated number of them by rule, and a caller may pass its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import released, ship, text_of
 from .forest import Forest, fit_forest
 
-# Names that secrets are assigned to, published prefixes of keys, words of the dictionary and of contexts.
+# Names that secrets are assigned to, published prefixes of keys, words of placeholders and of contexts.
 NAMED = r"(?:api|access|secret|private|client|auth|encryption|signing)[_-]?(?:key|token|secret)|secret|token|passw(?:or)?d|pwd|bearer|credentials?"
 PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 DICTIONARY = "the and for you your not with this that from have are was key token secret password access user name test example sample dummy change here value string data config default admin root server client public private service account login session none null true false enter insert replace todo your my new old some any all api app web dev prod local host home path file line text word page link site item list type code hash commit build version release update delete create select table index group order number phone email address street city country date time year month day hour".split()
@@ -43,34 +46,58 @@ THRESHOLD = 0.5
 AROUND = 48
 
 
-@lru_cache(maxsize=1)
-def _transitions() -> dict[str, float]:
-    """Log-probabilities of letter pairs in the dictionary, smoothed."""
-    pairs, firsts = Counter(), Counter()
-    for w in DICTIONARY:
-        for a, b in zip(w, w[1:]):
-            pairs[a + b] += 1
-            firsts[a] += 1
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    return {a + b: math.log((pairs[a + b] + 0.5) / (firsts[a] + 13)) for a in letters for b in letters}
+#: Letters of a dictionary word that counts as cover: shorter ones lie in random strings.
+COVER = 4
 
 
-@lru_cache(maxsize=1)
-def _words():
-    return re.compile("|".join(sorted({w for w in DICTIONARY if len(w) > 2}, key=lambda w: (-len(w), w))))
+class Lexicon:
+    """Words, and log-probabilities of their letter pairs, smoothed."""
 
+    def __init__(self, words: set[str]):
+        pairs, firsts = Counter(), Counter()
+        for w in words:
+            for a, b in zip(w, w[1:]):
+                pairs[a + b] += 1
+                firsts[a] += 1
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.transitions = {a + b: math.log((pairs[a + b] + 0.5) / (firsts[a] + 13)) for a in letters for b in letters}
+        self.words = {w for w in words if len(w) >= COVER}
+        self.longest = max(map(len, self.words), default=0)
 
-def describe(value: str, before: str, after: str, path: str, kind: str) -> list[float]:
+    def cover(self, low: str) -> int:
+        """Characters under words, the longest from the left."""
+        at = total = 0
+        while at < len(low):
+            n = next((k for k in range(min(self.longest, len(low) - at), COVER - 1, -1) if low[at : at + k] in self.words), 0)
+            at += n or 1
+            total += n
+        return total
+
+
+@lru_cache(maxsize=2)
+def lexicon(path: str | None = None) -> Lexicon:
+    """The words of a vocabulary file in the tokenizers library's format: whole tokens of small letters. Without a path,
+    the words that placeholders are made of."""
+    if path is None:
+        return Lexicon(set(DICTIONARY))
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix = model.get("end_of_word_suffix") or ""
+    tokens = (t.removesuffix(suffix) for t in model["vocab"] if t.endswith(suffix))
+    return Lexicon({t for t in tokens if len(t) > 2 and t.isascii() and t.isalpha() and t.islower()} | set(DICTIONARY))
+
+
+def describe(value: str, before: str, after: str, path: str, kind: str, words: Lexicon) -> list[float]:
     """The features of one candidate; all its characters count."""
     n = len(value)
     low = value.lower()
-    log = _transitions()
+    log = words.transitions
     steps = [log.get(low[i : i + 2], -5.0) for i in range(n - 1)]
     classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in value]
     changes = sum(a != b for a, b in zip(classes, classes[1:]))
     counts = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    covered = sum(len(m.group()) for m in _words().finditer(low))
+    covered = words.cover(low)
     near = re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", before).lower())[-6:]
     behind = re.findall(r"[a-z0-9]+", after.lower())[:3]
     where = path.lower()
@@ -172,14 +199,25 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
     return out
 
 
+@dataclass
+class SecretModel:
+    """The forest and the lexicon that its features come from."""
+
+    forest: Forest
+    words: Lexicon
+
+    def score(self, findings: list[tuple[str, str, str, str, str]]) -> np.ndarray:
+        return self.forest.score(np.array([describe(*f[:5], self.words) for f in findings]))
+
+
 @lru_cache(maxsize=2)
-def default_forest() -> Forest:
-    return train_forest(labelled_findings())
+def default_model(dictionary: str | None = None) -> SecretModel:
+    return train_model(labelled_findings(), lexicon(dictionary))
 
 
-def train_forest(findings: list[tuple[str, str, str, str, str, int]]) -> Forest:
-    x = np.array([describe(*f[:5]) for f in findings])
-    return fit_forest(x, np.array([f[5] for f in findings]))
+def train_model(findings: list[tuple[str, str, str, str, str, int]], words: Lexicon) -> SecretModel:
+    x = np.array([describe(*f[:5], words) for f in findings])
+    return SecretModel(fit_forest(x, np.array([f[5] for f in findings])), words)
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -213,30 +251,31 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def scan(text: str, path: str, forest: Forest) -> list[tuple[int, int, str, float]]:
+def scan(text: str, path: str, model: SecretModel) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of every candidate of a whole text."""
     found = sorted(candidates(text))
-    rows = [describe(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path, kind) for a, b, kind in found]
     if not found:
         return []
-    return [(a, b, k, float(s)) for (a, b, k), s in zip(found, forest.score(np.array(rows)))]
+    rows = [(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path, kind) for a, b, kind in found]
+    return [(a, b, k, float(s)) for (a, b, k), s in zip(found, model.score(rows))]
 
 
-def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", forest: Forest | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", dictionary: str | None = None, model: SecretModel | None = None) -> DataFrame:
     """One row for each candidate: doc_id, start, end (in characters), kind, length, value_sha256, score, is_secret.
 
+    Texts are scanned whole, whatever their length. ``dictionary`` is the path of a vocabulary file, see ``lexicon``.
     Values themselves are not given out. Null and empty texts have no candidates; a null path is empty; a null doc_id
     stays null; repeated rows give repeated findings; an empty table gives none. Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(forest or default_forest())  # some thousand nodes
+    shared = spark.sparkContext.broadcast(model or default_model(dictionary))  # some thousand nodes, and a vocabulary
 
     def run(batches):
         for batch in batches:
             rows = []
             for d, t, p in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rows += [(d, a, b, k, b - a, hashlib.sha256(t[a:b].encode()).hexdigest(), s, s >= THRESHOLD) for a, b, k, s in scan(t, p, model.value)]
+                rows += [(d, a, b, k, b - a, hashlib.sha256(t[a:b].encode()).hexdigest(), s, s >= THRESHOLD) for a, b, k, s in scan(t, p, shared.value)]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "start", "end", "kind", "length", "value_sha256", "score", "is_secret"])
 
@@ -245,12 +284,12 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     return rows.mapInArrow(released(run), "doc_id long, start int, end int, kind string, length int, value_sha256 string, score double, is_secret boolean")
 
 
-def redacted(docs: DataFrame, text: str = "text", path: str | None = "source", mark: str = "<SECRET>", forest: Forest | None = None) -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", path: str | None = "source", mark: str = "<SECRET>", dictionary: str | None = None, model: SecretModel | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; all rows and columns stay, null texts stay null.
     A column n_chars, where there is one, is the new text's length in rows that change."""
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(forest or default_forest())
+    shared = spark.sparkContext.broadcast(model or default_model(dictionary))
     at, where = docs.columns.index(text), docs.columns.index(path) if path else None
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -260,7 +299,7 @@ def redacted(docs: DataFrame, text: str = "text", path: str | None = "source", m
             paths = batch.column(where).to_pylist() if where is not None else [None] * len(texts)
             sizes = batch.column(count).to_pylist() if count is not None else None
             for i, (t, p) in enumerate(zip(texts, paths)):
-                hits = [x for x in scan(t, str(p or ""), model.value) if x[3] >= THRESHOLD] if t else []
+                hits = [x for x in scan(t, str(p or ""), shared.value) if x[3] >= THRESHOLD] if t else []
                 if hits:
                     parts, last = [], 0
                     for a, b, _, _ in hits:
