@@ -115,9 +115,9 @@ levels AS (SELECT *, (total - capped) / (weights - spent) AS level FROM filled),
 targets AS (SELECT source, source_size, CAST(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS BIGINT) % 3 AS turn, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce((SELECT min_by(level, capped) FROM levels WHERE cap > level * weight) * weight, cap)) END AS target FROM levels),
 placed AS (SELECT doc_id, d.source AS source, size, source_size, target, turn, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS turns,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-dealt AS (SELECT *, floor(target - turns * source_size) AS over, CAST(turns * size + greatest(0, least(size, floor(target - turns * source_size) - start)) AS BIGINT) AS taken FROM placed),
-shared AS (SELECT *, least(CAST(1 AS DOUBLE), (turns * start + least(start, over) + taken / CAST(2 AS DOUBLE)) / greatest(target, CAST(1 AS DOUBLE))) AS share FROM dealt)
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+dealt AS (SELECT *, floor(target - turns * source_size) AS rest, CAST(turns * size + greatest(0, least(size, floor(target - turns * source_size) - start)) AS BIGINT) AS taken FROM placed),
+shared AS (SELECT *, least(CAST(1 AS DOUBLE), (turns * start + least(start, rest) + taken / CAST(2 AS DOUBLE)) / greatest(target, CAST(1 AS DOUBLE))) AS share FROM dealt)
 SELECT doc_id, source, size, source_size, CAST(target AS DOUBLE) AS target, taken,
   CASE WHEN taken > 0 THEN round(CASE turn WHEN 0 THEN (CAST(1.75 AS DOUBLE) - sqrt(greatest(CAST(0 AS DOUBLE), CAST(3.0625 AS DOUBLE) - 3 * share))) / CAST(1.5 AS DOUBLE) WHEN 1 THEN share ELSE (sqrt(CAST(0.0625 AS DOUBLE) + 3 * share) - CAST(0.25 AS DOUBLE)) / CAST(1.5 AS DOUBLE) END, 9) END AS position
 FROM shared"""
