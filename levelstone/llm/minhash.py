@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, released, ship, text_of, utf8_parts
@@ -378,9 +378,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs``, with all their columns, whose document is kept: one of each near-duplicate group. Rows of one
     doc_id stay or go together, equal ones of them once; rows with a null doc_id stay."""
-    own = "_kept"
-    while own.lower() in {c.lower() for c in docs.columns}:
-        own += "_"
+    own, place = "_kept", "_place"
+    while {own.lower(), place.lower()} & {c.lower() for c in docs.columns}:
+        own, place = own + "_", place + "_"
     kept = near_duplicates(docs, doc_id, text).where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
-    stay = docs.join(kept, F.col(doc_id).cast("long") == F.col(own), "left_semi").dropDuplicates([doc_id, text])
+    # equal rows of one doc_id are in one partition after the join: texts are dealt once
+    keyed = docs.withColumn(place, F.col(doc_id).cast("long"))
+    stay = keyed.join(kept, F.col(place) == F.col(own), "left_semi")
+    same = Window.partitionBy(place, text).orderBy(F.lit(1))
+    stay = stay.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(place)
     return stay.unionByName(docs.where(F.col(doc_id).isNull()))
