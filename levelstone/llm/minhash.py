@@ -312,7 +312,7 @@ def _rare_keys(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """
     held = classes.where(F.col("small").isNotNull()).select("node", "n_shingles", F.explode("small").alias("shingle"))
     shared = scratch.save(held.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-shingles")
-    own = held.join(shared, "shingle").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
+    own = held.join(shared.hint("merge"), "shingle").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
     first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * NUMERATOR / DENOMINATOR) + 1 - (F.col("n_shingles") - F.size("shared"))
     own = own.withColumn("first", first.cast("int")).where("first > 0")
     return own.select("node", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("s")).select("node", F.xxhash64("s.shingle").alias("key"))
@@ -334,6 +334,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "keys", "small")))
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
+    # tables that grow with the data meet by a shuffle, whatever their size: plans are alike at every size
     bands = classes.select("node", F.explode("keys").alias("key")).unionByName(_rare_keys(classes, scratch))
     bands = scratch.save(bands, "keys")
     # buckets of the same members are one: near copies meet in many bands
@@ -341,10 +342,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = bands.groupBy("key").agg(F.count("*").alias("members"), *marks).where("members > 1")
     shared = scratch.save(shared.groupBy("members", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "members"), "buckets")
     load = F.lit(1 / BLOCK)
-    members = scratch.save(bands.join(shared, "key").select("key", "node", "members", load.alias("load"), F.ceil(F.col("members") * load).cast("int").alias("parts")), "members")
+    members = scratch.save(bands.join(shared.hint("merge"), "key").select("key", "node", "members", load.alias("load"), F.ceil(F.col("members") * load).cast("int").alias("parts")), "members")
 
     def estimated(cells: DataFrame) -> DataFrame:
-        held = cells.select("cell", "node").join(classes.select("node", "n_shingles", "sketch", "small"), "node")
+        held = cells.select("cell", "node").hint("merge").join(classes.select("node", "n_shingles", "sketch", "small"), "node")
         return held.groupBy("cell").applyInArrow(_bucket_forest, "a long, b long")
 
     clusters = _linked(members, estimated, scratch)

@@ -65,6 +65,35 @@ def test_near_duplicates_match_brute_force(spark):
     assert ids.count(13) == 1 and 2 not in ids and 3 not in ids and ids.count(None) == 2
 
 
+@pytest.mark.parametrize("local", [0, 500_000])
+def test_components_of_any_graph(spark, tmp_path, monkeypatch, local):
+    """Long chains, stars, rings and loops, by steps over all tasks and in one task."""
+    from levelstone.llm import components as steps
+    from levelstone.llm.common import Scratch
+
+    monkeypatch.setattr(steps, "LOCAL", local)
+    rng = random.Random(6)
+    chain = list(range(1000, 1300))
+    rng.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(5, i) for i in range(6, 80)] + [(200 + i, 200 + (i + 1) % 30) for i in range(30)] + [(7, 7), (400, 401), (401, 400), (400, 401)]
+    edges += [(rng.randint(2000, 2200), rng.randint(2000, 2200)) for _ in range(90)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    frame_ = spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(4)
+    got = {r.node: r.component for r in steps.components(frame_, Scratch(spark, "graph")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert steps.components(frame_.where("false"), Scratch(spark, "graph")).count() == 0
+
+
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     """More members than a block, with links at, above and below the threshold."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
