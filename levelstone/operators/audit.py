@@ -172,10 +172,11 @@ def gate_report(raw: DataFrame) -> DataFrame:
 
 
 def check_gates(raw: DataFrame) -> None:
-    """ValueError that names every gate with violations, and the days and rows that break it (20 a gate and series)."""
+    """ValueError that names every gate with violations, and the first 20 days or rows that break each."""
     broken = {r.gate: r.violations for r in gate_report(raw).where("violations > 0").collect()}  # three rows at most
     if broken:
         shown = {g: [] for g in broken}
-        for r in gate_offenders(raw).orderBy("gate", "series_id", "source_row_number", "parsed_date").limit(100).collect():
+        place = F.row_number().over(Window.partitionBy("gate").orderBy("series_id", "source_row_number", "parsed_date"))
+        for r in gate_offenders(raw).withColumn("_place", place).where(F.col("_place") <= 20).orderBy("gate", "_place").collect():
             shown.setdefault(r.gate, []).append(f"{r.parsed_date}" + (f" (row {r.source_row_number})" if r.source_row_number is not None else ""))
-        raise ValueError("input gates failed: " + "; ".join(f"{g}: {n}, at {', '.join(shown[g][:20])}" for g, n in broken.items()))
+        raise ValueError("input gates failed: " + "; ".join(f"{g}: {n}, at {', '.join(shown[g])}" for g, n in broken.items()))

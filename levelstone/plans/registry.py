@@ -10,6 +10,8 @@ from ..functions.stats import robust_z as robust
 from ..operators import audit, bootstrap, dataset, diagnostics, distribution, inference, variables
 from ..sources import bars
 from .dictionary import VARIABLES
+from .file_oracle import FILE_SQL
+from .file_queries import FILE_QUERIES
 from .oracle import SQL
 
 QUERIES: dict = {}
@@ -433,4 +435,5 @@ def terminal_corr(spark, d, n_sim=bootstrap.N_SIM):
     return inference.terminal_corr(_paths(spark, d, n_sim))
 
 
-ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}
+QUERIES |= FILE_QUERIES
+ORACLE_SQL = {k: v for k, v in (SQL | FILE_SQL).items() if k in QUERIES}

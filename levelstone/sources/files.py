@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
@@ -23,6 +25,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the session names. A cluster without one is an error; a session in one process
+    gets a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="scratch-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def resolve_source(spark: SparkSession, path: str | None, candidates: Iterable[str]) -> tuple[str, list[str]]:
     """(path, notes): the given path, or the first candidate that exists; a note says which stood in for the first."""
     names = list(candidates)
@@ -46,10 +66,12 @@ def column_report(df: DataFrame, expected: Iterable[str] = RAW_COLUMNS) -> dict[
 def read_text_csv(spark: SparkSession, path: str, columns: Iterable[str] = RAW_COLUMNS) -> DataFrame:
     """Every column as text, blanks as the empty string, with the line of each row (the header is line 1).
 
-    A raw file is one file read in order: its rows get their line from the order inside the file.
+    A raw file is one file read in order: its rows get their line from their place in the file, by the blocks in which a
+    large one is read. Parts of a folder follow each other by name. Quotes in quoted values are doubled.
     """
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    df = require(df, columns).select([F.coalesce(c, F.lit("")).alias(c) for c in df.columns] + [F.monotonically_increasing_id().alias("_at")])
+    df = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    df = require(df, columns).select([F.coalesce(c, F.lit("")).alias(c) for c in df.columns] + [place.alias("_at")])
     w = Window.partitionBy("series_id").orderBy("_at")
     df = df if "series_id" in df.columns else df.withColumn("series_id", F.lit("raw"))
     return df.withColumn("source_row_number", (F.row_number().over(w) + 1).cast("long")).drop("_at")
@@ -57,7 +79,7 @@ def read_text_csv(spark: SparkSession, path: str, columns: Iterable[str] = RAW_C
 
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Typed scan; values that don't fit are NULL."""
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').schema(schema).csv(path)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
@@ -119,8 +141,8 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, in parts, for results of any size."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header, in parts, for results of any size. Blanks at the ends of values stay; quotes are doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:

@@ -357,3 +357,35 @@ def test_offsets_come_after_the_starts(spark):
     drawn = bootstrap.draws(bootstrap.series_arrays(closes), 4, 20, bootstrap.numpy_starts(spark, 100, 100, 4, 20, 7, width=50.0))
     first = {r.sim: r.price for r in bootstrap.paths(drawn).where("t = 0").collect()}
     assert first == pytest.approx({r.sim: 300.0 + r.offset for r in got})
+
+
+def test_csv_keeps_blanks_quotes_and_lines(spark, tmp_path):
+    rows = [(" a ", 'say "x", y', ""), ("", "|", None)] * 3
+    df = spark.createDataFrame(rows, "a string, b string, c string").coalesce(1)
+    path = str(tmp_path / "t")
+    files.write_csv(df, path)
+    got = files.read_text_csv(spark, path, ["a", "b", "c"]).orderBy("source_row_number").collect()
+    assert [(r.a, r.b, r.c) for r in got] == [(a, b, c or "") for a, b, c in rows]
+    assert [r.source_row_number for r in got] == [2, 3, 4, 5, 6, 7]
+
+
+def test_lines_of_a_file_read_in_blocks(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("n\n" + "".join(f"{i}\n" for i in range(2, 5002)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = files.read_text_csv(spark, str(path), ["n"])
+        assert df.where("source_row_number <> cast(n as int)").count() == 0 and df.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_gates_name_offenders_of_every_gate(spark):
+    days = [(f"2020-01-{1 + i % 28:02d}", "1", "2", "0.5", "1.5" if i < 120 else "9", "1") for i in range(130)]
+    raw = spark.createDataFrame([("s", i + 2, *r) for i, r in enumerate(days)], "series_id string, source_row_number long, date string, open string, high string, low string, close string, volume_kg string")
+    with pytest.raises(ValueError) as e:
+        audit.check_gates(raw)
+    parts = dict(p.split(": ", 1) for p in str(e.value).removeprefix("input gates failed: ").split("; "))
+    assert set(parts) == {"duplicate_dates", "dates_not_ascending", "ohlc_bracket"}
+    assert len(parts["duplicate_dates"].split(", ")) == 21 and len(parts["ohlc_bracket"].split(", ")) == 11

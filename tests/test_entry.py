@@ -20,12 +20,12 @@ def test_keys_and_flagship(spark):
     assert len(rows) == 5 and all(0 < r.two_sided_p <= 1 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["occupancy_stats", "rule_counts", "flag_counts", "null_band", "validations"])
+@pytest.mark.parametrize("name", ["occupancy_stats", "rule_counts", "flag_counts", "null_band", "validations", "csv_raw_scan", "csv_typed_scan", "source_report", "file_manifest", "report_csv", "report_markdown", "chart_histogram", "gate_errors"])
 def test_against_sql(spark, name):
     import __spark_entry__ as e
 
     con = duckdb.connect()
-    for t in ("events", "orders", "lineitem"):
+    for t in ("events", "orders", "lineitem", "nation"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = e.queries()[name](spark, DATA)
     cols = sorted(df.columns)
