@@ -93,6 +93,24 @@ SELECT doc_id, min(CASE WHEN whole THEN digest END) AS digest, min(CASE WHEN who
 FROM units LEFT JOIN known USING (digest) GROUP BY doc_id"""
 
 
+#: Links by prefix filtering: near sets share one of the first n - ceil(0.75 n) + 1 shingles in any one order of all shingles.
+_OP2_SQL = """
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingled AS (SELECT doc_id, list_sort(CASE WHEN len(w) < 5 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '') ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(list_slice(w, i + 1, i + 5), ' '))) END) AS s FROM docs),
+keyed AS (SELECT doc_id, s, CAST(len(s) AS BIGINT) AS n, CASE WHEN len(s) > 0 AND doc_id IS NOT NULL THEN md5(array_to_string(s, chr(10))) END AS key FROM shingled),
+classes AS (SELECT key, min(doc_id) AS node, any_value(s) AS s, any_value(n) AS n FROM keyed WHERE key IS NOT NULL GROUP BY key),
+held AS (SELECT node, n, unnest(s) AS shingle FROM classes),
+counted AS (SELECT shingle, count(*) AS k FROM held GROUP BY shingle),
+ranked AS (SELECT node, n, shingle, row_number() OVER (PARTITION BY node ORDER BY k, shingle) AS place FROM held JOIN counted USING (shingle)),
+firsts AS (SELECT node, n, shingle FROM ranked WHERE place <= n - (3 * n + 3) // 4 + 1),
+candidates AS (SELECT DISTINCT a.node AS a, b.node AS b, a.n AS na, b.n AS nb FROM firsts a JOIN firsts b ON a.shingle = b.shingle AND a.node < b.node WHERE 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+links AS (SELECT a, b FROM candidates JOIN held x ON x.node = a JOIN held y ON y.node = b AND y.shingle = x.shingle GROUP BY a, b, na, nb HAVING 100 * count(*) >= 75 * (na + nb - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node, node AS label FROM classes UNION SELECT e.b, r.label FROM reach r JOIN edges e ON e.a = r.node WHERE r.label < e.b),
+named AS (SELECT node, min(label) AS component_id FROM reach GROUP BY node)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(named.component_id, k.doc_id) AS component_id, coalesce(coalesce(named.component_id, k.doc_id) = k.doc_id, true) AS kept
+FROM keyed k LEFT JOIN classes c ON c.key = k.key LEFT JOIN named ON named.node = c.node"""
+
 _OP3_SQL = f"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, w, unnest(range(len(w) - {suffixes.MIN_WORDS - 1})) AS pos FROM docs WHERE len(w) >= {suffixes.MIN_WORDS}),
@@ -129,4 +147,4 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_t
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {mtree.K}"""
 
-ORACLE_SQL = {"op1_license_scan": _op1_sql(), "op3_suffix_array_dedup": _OP3_SQL, "op6_source_mixing": _OP6_SQL, "op10_top_k": _OP10_SQL}
+ORACLE_SQL = {"op1_license_scan": _op1_sql(), "op2_minhash_near_dedup": _OP2_SQL, "op3_suffix_array_dedup": _OP3_SQL, "op6_source_mixing": _OP6_SQL, "op10_top_k": _OP10_SQL}
