@@ -371,7 +371,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     label = classes.select("node", "digest", "least").join(label, "node", "left")
     label = scratch.save(label.select("digest", F.coalesce("component_id", "least").alias("component_id")), "labels")
     scratch.drop(bands, shared, members, classes, clusters, who, texts, linked, named)
-    out = rows.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
+    # rows without words have no label and spread by their ids
+    apart = F.coalesce("digest", F.col("doc_id").cast("string"), F.lit(""))
+    out = rows.select("doc_id", "n_shingles", apart.alias("digest")).join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
