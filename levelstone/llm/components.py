@@ -48,8 +48,9 @@ def _forest(batches):
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Nodes of ``edges(a, b)`` with ``component``, the smallest node reachable.
 
-    Up to ``LOCAL`` edges, one task's forest is the answer. More alternate large-star and small-star steps, each a map-side combined minimum and a join on the node, which end when
-    the edges form stars. Each step's edges are written to the shared folder. No edges: an empty result.
+    Up to ``LOCAL`` edges, one task's forest is the answer. More go through large-star and small-star steps in turn, each a
+    map-side combined minimum and a join on the node, until the edges form stars. Each step's edges are written to the
+    shared folder. No edges: an empty result.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and a < b")
     # a forest within each task comes after a shuffle: one Python worker for each core, whatever the edges come from

@@ -111,14 +111,14 @@ named AS (SELECT node, min(label) AS component_id FROM reach GROUP BY node)
 SELECT k.doc_id, k.n AS n_shingles, coalesce(named.component_id, k.doc_id) AS component_id, coalesce(coalesce(named.component_id, k.doc_id) = k.doc_id, true) AS kept
 FROM keyed k LEFT JOIN classes c ON c.key = k.key LEFT JOIN named ON named.node = c.node"""
 
-_OP3_SQL = f"""
+_OP3_SQL = """
 WITH docs AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-windows AS (SELECT doc_id, w, unnest(range(len(w) - {suffixes.MIN_WORDS - 1})) AS pos FROM docs WHERE len(w) >= {suffixes.MIN_WORDS}),
-keyed AS (SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos + 1, pos + {suffixes.MIN_WORDS}), ' ')) AS key FROM windows),
+windows AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS pos FROM docs WHERE len(w) >= 50),
+keyed AS (SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos + 1, pos + 50), ' ')) AS key FROM windows),
 shared AS (SELECT key FROM keyed GROUP BY key HAVING min(doc_id) <> max(doc_id)),
-hits AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {suffixes.MIN_WORDS} THEN 0 ELSE 1 END AS fresh FROM keyed SEMI JOIN shared USING (key)),
+hits AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS fresh FROM keyed SEMI JOIN shared USING (key)),
 spans AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM hits)
-SELECT doc_id, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + {suffixes.MIN_WORDS} AS INTEGER) AS end_word, CAST(max(pos) + {suffixes.MIN_WORDS} - min(pos) AS INTEGER) AS n_words
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + 50 AS INTEGER) AS end_word, CAST(max(pos) + 50 - min(pos) AS INTEGER) AS n_words
 FROM spans GROUP BY doc_id, span"""
 
 _OP6_SQL = """
@@ -140,11 +140,11 @@ SELECT doc_id, source, size, source_size, CAST(target AS DOUBLE) AS target, take
   CASE WHEN taken > 0 THEN round(CASE turn WHEN 0 THEN (CAST(1.75 AS DOUBLE) - sqrt(greatest(CAST(0 AS DOUBLE), CAST(3.0625 AS DOUBLE) - 3 * share))) / CAST(1.5 AS DOUBLE) WHEN 1 THEN share ELSE (sqrt(CAST(0.0625 AS DOUBLE) + 3 * share) - CAST(0.25 AS DOUBLE)) / CAST(1.5 AS DOUBLE) END, 9) END AS position
 FROM shared"""
 
-_OP10_SQL = f"""
+_OP10_SQL = """
 WITH raw AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 good AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(1024 * x) AS BIGINT)) AS v FROM raw WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {mtree.K}"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
 
 ORACLE_SQL = {"op1_license_scan": _op1_sql(), "op2_minhash_near_dedup": _OP2_SQL, "op3_suffix_array_dedup": _OP3_SQL, "op6_source_mixing": _OP6_SQL, "op10_top_k": _OP10_SQL}
