@@ -6,8 +6,9 @@ the others by weight. A document's repeats lie one after another in its source's
 the document; where the source's cumulative demand, which is the integral of its schedule, reaches a repeat's middle,
 there is its training position. Positions order the mix by range.
 
-Sums along a source run over blocks of the digest order: a source's blocks are summed first, and only block sums meet in
-a window, so a source that holds a third of all rows is spread over many tasks.
+Sums along a source run over blocks of the digest order, and over parts of several blocks: a part's blocks meet in one
+window and a source's parts in another, and each of the two has about the root of the number of blocks. A source that
+holds a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -115,8 +116,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     source's taken words are its target without the fraction. ``position`` is in [0, 1], null where nothing is taken.
     Null and empty texts have size 0 and are taken 0. A null source is a source. Rows with a null or a repeated doc_id
     are ordered by their sizes. ``schedule`` is one for all sources, or a tuple of schedules that sources take in turn
-    by their place in code-point order, so that the mix changes over training time. An empty table gives an empty result. With ``carry`` a column ``row`` holds the whole
-    row of ``docs``, whatever its columns are called.
+    by their place in code-point order, so that the mix changes over training time. An empty table gives an empty result.
+    With ``carry`` a column ``row`` holds the whole row of ``docs``, whatever its columns are called.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     light = scratch.save(_keyed(docs, doc_id, text, source).select("doc_id", "source", "size", "order", "key"), "sizes")
@@ -124,8 +125,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     block = F.substring("order", 1, min(digits, 32))
     sums = scratch.save(light.groupBy("key", "source", block.alias("block")).agg(F.sum("size").alias("words")), "blocks")
     targets = source_targets(sums.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, schedule)
-    ahead = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("key", "block", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")).join(targets.drop("source"), "key")
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda *keys: F.coalesce(F.sum("words").over(earlier(*keys)), F.lit(0))
+    sums = sums.withColumn("part", F.substring("block", 1, max(1, digits // 2)))
+    parts = sums.groupBy("key", "part").agg(F.sum("words").alias("words")).select("key", "part", ahead("key", "part").alias("before"))
+    sums = sums.select("key", "part", "block", ahead("key", "part", "block").alias("inside")).join(parts, ["key", "part"])
+    sums = sums.select("key", "block", (F.col("before") + F.col("inside")).alias("ahead")).join(targets.drop("source"), "key")
     sums = scratch.save(sums.select("key", "block", "ahead", "source_size", "place", "target"), "demand")
 
     rows = _keyed(docs, doc_id, text, source, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if carry else light
