@@ -428,6 +428,41 @@ def test_sources_have_their_own_schedules(spark, tmp_path):
     assert stage[:half].count("f") > 1.5 * stage[half:].count("f") and stage[half:].count("h") > 1.5 * stage[:half].count("h")
 
 
+def test_mix_is_the_same_with_blocks_of_any_size(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i * 7 % 13), "en", "ab"[i % 3 == 0]) for i in range(700)]
+    want = {r.doc_id: tuple(r) for r in mixing.mix(frame(spark, rows)).collect()}
+    # sums along each source in the digest order, without any blocks
+    for source in "ab":
+        mine = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(t.split())) for i, t, _, s in rows if s == source)
+        target, size, before = want[mine[0][1]][4], sum(n for _, _, n in mine), 0
+        turns, over = int(target // size), int(target - target // size * size)
+        for _, i, n in mine:
+            assert want[i][5] == turns * n + max(0, min(n, over - before))
+            before += n
+    for size in (0.05, 1, 20):  # up to four digits of the digest: parts of several blocks
+        monkeypatch.setattr(mixing, "BLOCK_ROWS", size)
+        assert {r.doc_id: tuple(r) for r in mixing.mix(frame(spark, rows)).collect()} == want
+
+
+def test_near_duplicates_match_their_sql(spark, tmp_path):
+    """Short, repeated, null and empty texts, and a chain of near copies, in both."""
+    import duckdb
+
+    base = [f"w{i}" for i in range(40)]
+    chain = [" ".join(base[k:] + [f"x{k}{i}" for i in range(k)]) for k in range(0, 6)]
+    texts = ["", None, " \t\n", "one", "ONE", "one two three four", "a b c d e", "A b  c d e", "a b c d e f g", "a b c d e f g h", *chain, chain[0]]
+    rows = [(1000 - i, t, "en", "s") for i, t in enumerate(texts)]
+    df = frame(spark, rows)
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    got = minhash.near_duplicates(df)
+    want = con.sql(queries.ORACLE_SQL["op2_minhash_near_dedup"])
+    assert want.columns == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    assert len({r.component_id for r in got.collect()}) < len(rows) - 3
+
+
 def test_quality_is_learned_and_held_out(spark):
     rng = random.Random(0)
     good = [(i, " ".join(rng.choice(["the", "sea", "was", "calm", "and", "blue."]) for _ in range(30)), "en", "s") for i in range(300)]
